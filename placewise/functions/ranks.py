@@ -32,7 +32,8 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int |
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
     k = keys or ["_all"]
-    distinct = rows.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("cnt"))
+    # Every branch below reads cnt, so all of them share this one shuffle.
+    distinct = rows.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > 0)
     # Size of each group in distinct values; only large ones get cut points.
     big = distinct.groupBy(*k).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > F.lit(hot_rows)).drop("_d")
     probs = [i / _SEGMENTS for i in range(1, _SEGMENTS)]
@@ -113,5 +114,42 @@ def rank_stats(
     return grouped.select(*keys, *head, *out)
 
 
+def multi_rank_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, dict[str, Position]]) -> DataFrame:
+    """``rank_stats`` of several value columns at once: the columns are stacked and ranked in one pass."""
+    keys = list(keys)
+    stacked = df.select(
+        *keys,
+        F.explode(F.array(*[F.struct(F.lit(v).alias("_col"), F.col(v).cast("double").alias("_val")) for v in stats])).alias("_s"),
+    ).select(*keys, "_s.*")
+    positions: dict[str, Position] = {}
+    for per_column in stats.values():
+        positions.update(per_column)
+    long = rank_stats(stacked, [*keys, "_col"], "_val", positions)
+    picks = [
+        F.max(F.when(F.col("_col") == v, F.col(name))).alias(name) for v, per_column in stats.items() for name in per_column
+    ]
+    return long.groupBy(*keys).agg(*picks)
+
+
 def median(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
     return rank_stats(df, keys, value, {alias: linear(0.5)})
+
+
+def row_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, rank_as: str = "row_rank", n_as: str = "group_rows",
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Every row with its exact zero-based rank by (value, tiebreak) and its group's row count."""
+    ranked = value_ranks(df, keys, value, hot_rows).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"), "first_rank", F.col("n").alias(n_as)
+    )
+    rows = df.withColumn("_rv", F.col(value).cast("double"))
+    on = rows["_rv"] == ranked["_v"]
+    for i, key in enumerate(keys):
+        on = on & (rows[key] == ranked[f"_k{i}"])
+    ties = W.partitionBy(*keys, "_rv").orderBy(tiebreak)
+    return (
+        rows.join(ranked, on)
+        .withColumn(rank_as, F.col("first_rank") + F.row_number().over(ties) - F.lit(1))
+        .drop("_rv", "_v", "first_rank", *[f"_k{i}" for i in range(len(keys))])
+    )
