@@ -121,8 +121,7 @@ def n7_counts(t):
     return evaluation.split_counts(evaluation.temporal_split(t.visits), "address_id")
 
 
-@query("n8_geography_holdout", _summary(_GEO, f"SELECT * FROM ({FRAME_SQL}) WHERE town_id = (SELECT max(town_id) FROM ({FRAME_SQL}))").replace(
-    f"SELECT address_id, geocoder_x AS pred_x", "SELECT address_id, geocoder_x AS pred_x"))
+@query("n8_geography_holdout", _summary(_GEO, f"SELECT * FROM ({FRAME_SQL}) WHERE town_id = (SELECT max(town_id) FROM ({FRAME_SQL}))"))
 def n8(t):
     return rounded(evaluation.geography_holdout(frame(t)))
 
