@@ -25,7 +25,7 @@ def lcs_length(a: str, b: str) -> int:
     for ch in b:
         hit = row & where.get(ch, 0)
         row = (row + hit) | (row - hit)
-    return len(a) - bin(row & full).count("1")
+    return len(a) - (row & full).bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -46,12 +46,29 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
+    if short in long:
+        return 100.0
     n, m = len(short), len(long)
+    where: dict[str, int] = {}
+    for i, ch in enumerate(short):
+        where[ch] = where.get(ch, 0) | (1 << i)
+    full = (1 << n) - 1
     best = 0.0
     for start in range(1 - n, m):
-        best = max(best, ratio(short, long[max(0, start) : min(m, start + n)]))
-        if best == 100.0:
-            break
+        lo, hi = max(0, start), min(m, start + n)
+        # A window that opens or closes on a letter the short text lacks loses to its neighbour.
+        if long[hi - 1] not in where or (hi == m and long[lo] not in where):
+            continue
+        span = n + hi - lo
+        if 200.0 * min(n, hi - lo) / span <= best:
+            continue
+        row = full
+        for ch in long[lo:hi]:
+            mask = where.get(ch)
+            if mask:
+                hit = row & mask
+                row = (row + hit) | (row - hit)
+        best = max(best, 200.0 * (n - (row & full).bit_count()) / span)
     return best
 
 

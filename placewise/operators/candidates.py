@@ -220,10 +220,10 @@ def fuzzy_gazetteer_match(
     texts = rows.filter(F.col(text).isNotNull() & (F.col(text) != "")).select("town_id", F.lower(text).alias("_text")).distinct()
     scored = texts.join(names, "town_id").withColumn("_m", _best_name_udf()(F.col("_text"), F.col("_names"), F.lit(threshold)))
     hit = F.get("_list", F.col("_m.ord"))["p"]
-    best = scored.filter(F.col("_m.ord").isNotNull()).select(
+    best = scored.select(
         "town_id", "_text", hit["id"].alias("match_id"), hit["px"].alias("match_x"), hit["py"].alias("match_y"),
         (F.col("_m.score") / 100).alias("similarity"),
-    )
+    ).filter(F.col("match_id").isNotNull())
     return rows.withColumn("_text", F.lower(text)).join(best, ["town_id", "_text"]).drop("_text")
 
 

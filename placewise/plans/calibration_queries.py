@@ -80,10 +80,10 @@ _BINS = f"SELECT CAST(least(floor(confidence * 10), 9) AS INT) AS bin, avg(confi
 _PART = f"SELECT *, count / (SELECT sum(count) FROM ({_BINS})) * abs(predicted - actual) AS ece_part FROM ({_BINS})"
 
 
-@query("j10_operational_calibration", f"SELECT bin, round(predicted, 4) AS predicted, round(actual, 4) AS actual, count, round(ece_part, 6) AS ece_part FROM ({_PART})")
+@query("j10_operational_calibration", f"SELECT bin, round(predicted, 6) AS predicted, round(actual, 4) AS actual, count, round(ece_part, 6) AS ece_part FROM ({_PART})")
 def j10(t):
     out = calibration.reliability_table(predictions_with_outcome(t), "confidence", F.col("error_m") <= F.col("confidence_radius_m"))
-    return out.select("bin", F.round("predicted", 4).alias("predicted"), F.round("actual", 4).alias("actual"), "count", F.round("ece_part", 6).alias("ece_part"))
+    return out.select("bin", F.round("predicted", 6).alias("predicted"), F.round("actual", 4).alias("actual"), "count", F.round("ece_part", 6).alias("ece_part"))
 
 
 @query(

@@ -22,7 +22,7 @@ def scored_visits(t):
         "visit_id", "reliability", F.col("efficiency").alias("trajectory_ratio")
     )
     honest = integrity.detect(t.visits, tracks).select("visit_id", F.col("integrity").alias("integrity_score"))
-    return to_degrees(canon, "checkin_x", "checkin_y").join(trust, "visit_id").join(honest, "visit_id")
+    return geocode.reused(to_degrees(canon, "checkin_x", "checkin_y").join(trust, "visit_id").join(honest, "visit_id"))
 
 
 def geocode_inputs(t):
@@ -53,7 +53,7 @@ def h1(t):
 @query(
     "h2_weighted_centroid",
     f"""SELECT account_id, round(sum(w * checkin_x) / sum(w), 4) AS x, round(sum(w * checkin_y) / sum(w), 4) AS y, round(sum(w), 4) AS weight, count(*) AS visits,
- round(CAST(min(gps_accuracy_m) AS DOUBLE), 4) AS accuracy, round(avg(dwell_s), 4) AS dwell FROM (SELECT *, CASE outcome WHEN 'met_family' THEN 0.7 ELSE 1.0 END * 0.5 AS w FROM v_visits WHERE {_OK}) GROUP BY 1""",
+ round(CAST(min(gps_accuracy_m) AS DOUBLE), 4) AS accuracy, round(avg(dwell_s), 4) AS dwell FROM (SELECT *, CAST(CASE outcome WHEN 'met_family' THEN 0.7 ELSE 1.0 END * 0.5 AS DOUBLE) AS w FROM v_visits WHERE {_OK}) GROUP BY 1""",
 )
 def h2(t):
     hits = _plain_visits(t).filter(F.col("outcome").isin("SUCCESSFUL_CONTACT", "PARTIAL_CONTACT")).withColumn("position", F.col("visit_id"))

@@ -97,6 +97,16 @@ def test_lcs_against_table():
         assert fuzzy.lcs_length(a, b) == _lcs(a, b)
 
 
+def test_partial_ratio_against_all_windows():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 15)))
+        b = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 25)))
+        s, t = (a, b) if len(a) <= len(b) else (b, a)
+        windows = [t[max(0, i) : i + len(s)] for i in range(1 - len(s), len(t))]
+        assert fuzzy.partial_ratio(a, b) == pytest.approx(max(fuzzy.ratio(s, w) for w in windows))
+
+
 def test_partial_ratio():
     assert fuzzy.partial_ratio("temple", "hanuman temple road") == 100.0
     assert fuzzy.partial_ratio("abc", "xyz") == 0.0
