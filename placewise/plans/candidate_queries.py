@@ -5,6 +5,7 @@ from placewise.operators import candidates, evaluation, integrity, lookup, match
 from placewise.plans import geocode
 from placewise.plans.metric_queries import canonical_visits, rounded
 from placewise.plans.registry import query
+from placewise.session import settled
 
 _OK = "outcome IN ('met_borrower', 'met_family', 'cash_collected')"
 
@@ -22,7 +23,7 @@ def scored_visits(t):
         "visit_id", "reliability", F.col("efficiency").alias("trajectory_ratio")
     )
     honest = integrity.detect(t.visits, tracks).select("visit_id", F.col("integrity").alias("integrity_score"))
-    return geocode.reused(to_degrees(canon, "checkin_x", "checkin_y").join(trust, "visit_id").join(honest, "visit_id"))
+    return settled(to_degrees(canon, "checkin_x", "checkin_y").join(trust, "visit_id").join(honest, "visit_id"))
 
 
 def geocode_inputs(t):

@@ -2,9 +2,9 @@ from pyspark.sql import functions as F
 
 from placewise.functions import geo
 from placewise.operators import fusion
-from placewise.plans.geocode import reused
 from placewise.plans.metric_queries import rounded
 from placewise.plans.registry import query
+from placewise.session import settled
 from placewise.plans.text_queries import parsed
 from placewise.operators import evaluation, metrics
 
@@ -22,16 +22,16 @@ class Evidence:
 
     def __init__(self, t):
         self.t = t
-        self.parsed = reused(parsed(t).drop("address_text"))
-        self.labels = reused(fusion.confirmed_labels(t.visits))
-        self.points = reused(fusion.usable_points(self.labels, self.parsed, t.localities, t.towns))
+        self.parsed = settled(parsed(t).drop("address_text"))
+        self.labels = settled(fusion.confirmed_labels(t.visits))
+        self.points = settled(fusion.usable_points(self.labels, self.parsed, t.localities, t.towns))
         self._components = None
 
     @property
     def components(self):
         if self._components is None:
             t = self.t
-            self._components = reused(fusion.text_components(self.parsed, self.points, t.baseline, t.localities, t.landmarks))
+            self._components = settled(fusion.text_components(self.parsed, self.points, t.baseline, t.localities, t.landmarks))
         return self._components
 
     def fit(self):

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewise import config
 from placewise.functions import entities, geo, narrative
+from placewise.session import settled
 from placewise.operators import calibration, candidates, lookup, matching, proximity, ranking
 
 
@@ -28,14 +28,9 @@ class GeocodeInputs:
     localities: DataFrame
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """Keep a result that several branches of one job read; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def described_accounts(accounts: DataFrame) -> DataFrame:
     parts = entities.extract_entities(accounts.select("account_id", "town_id", "address", "latitude"), "address")
-    return reused(parts.select("account_id", "town_id", "latitude", "entities", "landmark", "locality", "pincode"))
+    return settled(parts.select("account_id", "town_id", "latitude", "entities", "landmark", "locality", "pincode"))
 
 
 def generate(inputs: GeocodeInputs, described: DataFrame) -> DataFrame:
@@ -68,7 +63,7 @@ def generate(inputs: GeocodeInputs, described: DataFrame) -> DataFrame:
 def geocode_accounts(inputs: GeocodeInputs) -> DataFrame:
     """One prediction per account: point, confidence, radius, action, evidence and directions."""
     described = described_accounts(inputs.accounts)
-    ranked = reused(generate(inputs, described))
+    ranked = settled(generate(inputs, described))
     agreement = calibration.candidate_agreement(ranked, "account_id")
     history = lookup.newest_visits(inputs.visits, "account_id", candidates.RULES.history_limit)
     sums = calibration.evidence_sums(history.filter(F.col("outcome").isin(*config.CANONICAL_SUCCESS)), "account_id")

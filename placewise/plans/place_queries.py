@@ -1 +1,94 @@
+from pyspark.sql import functions as F
 
+from placewise.operators import lookup, places
+from placewise.plans.candidate_queries import to_degrees
+from placewise.plans.metric_queries import canonical_visits, rounded
+from placewise.plans.registry import query
+
+_OK = "outcome IN ('met_borrower', 'met_family', 'cash_collected')"
+
+
+def _clustered(t):
+    hits = t.visits.filter(lookup.is_success()).select("visit_id", "account_id", "checkin_x", "checkin_y")
+    return places.spatial_clusters(hits, "checkin_x", "checkin_y")
+
+
+@query("l4_spatial_places")
+def l4(t):
+    return _clustered(t).select("visit_id", "place")
+
+
+@query("l5_account_places")
+def l5(t):
+    return places.account_places(_clustered(t))
+
+
+@query("l6_place_summary")
+def l6(t):
+    visits = t.visits.groupBy("account_id").agg(
+        F.count(F.lit(1)).alias("visits"), F.avg("checkin_x").alias("x"), F.avg("checkin_y").alias("y")
+    )
+    facts = t.addresses.select("account_id", F.col("address_text").alias("address"), F.lit(None).cast("string").alias("landmark"))
+    members = places.account_places(_clustered(t)).join(visits, "account_id").join(facts, "account_id")
+    return rounded(places.place_summary(members))
+
+
+@query(
+    "l7_incremental_clusters",
+    f"""
+WITH v AS (SELECT visit_id, account_id, checkin_ts, 12.97 + checkin_y / 111000 AS lat, 77.59 + checkin_x / 108168 AS lon FROM v_visits WHERE {_OK}),
+f AS (SELECT v.*, (SELECT min(c.cluster_id) FROM v_clusters c WHERE c.latitude BETWEEN v.lat - 100 / 111000 AND v.lat + 100 / 111000 AND c.longitude BETWEEN v.lon - 100 / 111000 AND v.lon + 100 / 111000) AS cluster_id FROM v),
+n AS (SELECT concat('N', visit_id) AS cluster_id, account_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY checkin_ts, visit_id) AS rn FROM f WHERE cluster_id IS NULL) WHERE rn = 1),
+m AS (SELECT place_cluster_id AS cluster_id, account_id FROM v_accounts WHERE place_cluster_id IS NOT NULL UNION SELECT cluster_id, account_id FROM f WHERE cluster_id IS NOT NULL UNION SELECT * FROM n)
+SELECT m.cluster_id, count(*) AS visit_count, round(least(1.0, 0.5 + count(*) * 0.1), 4)::DOUBLE AS confidence FROM m WHERE m.cluster_id IN (SELECT cluster_id FROM v_clusters UNION SELECT cluster_id FROM n) GROUP BY 1""",
+)
+def l7(t):
+    visits = to_degrees(t.visits.filter(lookup.is_success()), "checkin_x", "checkin_y")
+    members = t.accounts.filter(F.col("place_cluster_id").isNotNull()).select(F.col("place_cluster_id").alias("cluster_id"), "account_id")
+    _, clusters = places.assign_clusters(visits, t.clusters, members, "latitude", "longitude")
+    return rounded(clusters.select("cluster_id", "visit_count", "confidence"))
+
+
+_EVENTS = f"""SELECT account_id, prediction_id AS event_id, ts, pred_x AS x, pred_y AS y, confidence, confidence_radius_m AS radius_m, 'prediction' AS source FROM v_predictions
+ UNION ALL SELECT account_id, visit_id, checkin_ts, checkin_x, checkin_y, 0.9::DOUBLE, gps_accuracy_m, 'visit_confirmed' FROM v_visits WHERE {_OK}"""
+
+
+def location_events(t):
+    predictions = t.predictions.select(
+        "account_id", F.col("prediction_id").alias("event_id"), "ts", F.col("pred_x").alias("x"), F.col("pred_y").alias("y"), "confidence",
+        F.col("confidence_radius_m").alias("radius_m"), F.lit("prediction").alias("source"),
+    )
+    visits = t.visits.filter(lookup.is_success()).select(
+        "account_id", F.col("visit_id").alias("event_id"), F.col("checkin_ts").alias("ts"), F.col("checkin_x").alias("x"),
+        F.col("checkin_y").alias("y"), F.lit(0.9).alias("confidence"), F.col("gps_accuracy_m").alias("radius_m"),
+        F.lit("visit_confirmed").alias("source"),
+    )
+    return predictions.unionByName(visits)
+
+
+@query(
+    "l8_l10_location_merge",
+    f"""SELECT account_id, x, y, confidence, radius_m, source AS location_source FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY CASE source WHEN 'visit_confirmed' THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS rn
+ FROM ({_EVENTS}) WHERE source <> 'prediction' OR confidence >= 0.5) WHERE rn = 1""",
+)
+def l8(t):
+    return places.merge_locations(location_events(t)).drop("confirmed", "predicted")
+
+
+@query(
+    "l9_cluster_propagation",
+    f"""WITH c AS (SELECT * FROM (SELECT a.place_cluster_id AS cluster_id, v.account_id, v.visit_id, v.checkin_x, v.checkin_y, (v.visit_id % 100) / 100.0 AS rel, row_number() OVER (PARTITION BY a.place_cluster_id ORDER BY v.checkin_ts DESC, v.visit_id DESC) AS rn
+  FROM v_visits v JOIN v_accounts a ON a.account_id = v.account_id WHERE v.{_OK} AND a.place_cluster_id IS NOT NULL) WHERE rn = 1)
+SELECT m.account_id, c.cluster_id, c.visit_id AS event_id, c.checkin_x AS x, c.checkin_y AS y FROM c JOIN v_accounts m ON m.place_cluster_id = c.cluster_id AND m.account_id <> c.account_id
+ WHERE NOT (m.account_id % 2 = 0 AND coalesce(m.confidence, 0) >= c.rel)""",
+)
+def l9(t):
+    members = t.accounts.filter(F.col("place_cluster_id").isNotNull()).select(F.col("place_cluster_id").alias("cluster_id"), "account_id")
+    confirmations = t.visits.filter(lookup.is_success()).join(members, "account_id").select(
+        "cluster_id", "account_id", "visit_id", F.col("checkin_ts").alias("ts"), F.col("checkin_x").alias("x"), F.col("checkin_y").alias("y"),
+        (F.col("visit_id") % 100 / 100.0).alias("reliability"), F.col("gps_accuracy_m").alias("radius_m"),
+    )
+    current = t.accounts.select(
+        "account_id", F.when(F.col("account_id") % 2 == 0, "visit_confirmed").otherwise("prediction").alias("location_source"), "confidence"
+    )
+    return places.propagate_confirmations(confirmations, members, current).select("account_id", "cluster_id", "event_id", "x", "y")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A result that many later steps read: written once to the checkpoint folder, with its plan cut off."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
