@@ -1 +1,74 @@
+import uuid
 
+from pyspark.sql import functions as F
+
+from placewise.operators import lookup
+from placewise.plans.metric_queries import _PROD
+from placewise.plans.compliance_queries import _COUNTS
+from placewise.plans.registry import query
+from placewise.session import ensure_checkpoint_dir
+from placewise.sources.views import Tables
+from placewise.streaming import visits as arrivals
+
+
+class StreamTables(Tables):
+    """The same views with ``events`` read as a stream."""
+
+    def base(self, name):
+        if name == "events" and name not in self._cache:
+            schema = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
+            self._cache[name] = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
+        return super().base(name)
+
+
+def _folder(t):
+    return f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _canonical(visits):
+    return visits.withColumn("outcome", lookup.canonical_outcome("outcome"))
+
+
+@query(
+    "p1_p2_visit_ingest",
+    """SELECT visit_id, account_id, CASE WHEN account_id NOT IN (SELECT account_id FROM v_accounts WHERE town_id <> 'T0') THEN 'unknown_account' END AS rejected FROM v_visits""",
+)
+def p1(t):
+    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
+    accepted = arrivals.check_visits(arrivals.drop_repeats(s.visits), t.accounts.filter("town_id <> 'T0'"))
+    arrivals.run_available(accepted.select("visit_id", "account_id", "rejected"), f"{folder}/out", f"{folder}/state")
+    return t.spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    "p3_p4_queue_statistics",
+    "SELECT CASE WHEN event_id % 3 = 0 THEN 'synced' WHEN event_id % 8 >= 5 THEN 'dead_letter' ELSE 'pending' END AS route, count(*) AS items FROM events GROUP BY 1",
+)
+def p4(t):
+    queue = t.events.select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, "synced").otherwise("pending").alias("status"), (F.col("event_id") % 8).alias("retries")
+    )
+    return arrivals.queue_statistics(arrivals.route_failures(queue))
+
+
+@query("p5_p6_arrival_refresh")
+def p5(t):
+    """Score each arriving visit and keep the merged location of the touched accounts."""
+    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
+    handler = arrivals.ArrivalRefresh(t.spark, folder, "")
+    arrivals.run_batches(_canonical(s.visits), handler, f"{folder}/state")
+    return handler.latest_locations().select("account_id", "x", "y", "confidence", "location_source")
+
+
+@query("p8_streaming_productivity", f"SELECT * FROM ({_PROD}) WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(checkin_ts) - INTERVAL 1 DAY FROM v_visits)")
+def p8(t):
+    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
+    arrivals.run_available(arrivals.daily_productivity(_canonical(s.visits)), f"{folder}/out", f"{folder}/state")
+    return t.spark.read.parquet(f"{folder}/out")
+
+
+@query("p9_streaming_contact_guard", f"SELECT id, attempts_today, attempts_7d, attempts_14d FROM ({_COUNTS})")
+def p9(t):
+    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
+    arrivals.run_batches(s.contact_log, arrivals.ContactGuard(t.spark, folder), f"{folder}/state")
+    return t.spark.read.parquet(f"{folder}/checked").select("id", "attempts_today", "attempts_7d", "attempts_14d")
