@@ -56,8 +56,8 @@ def partial_ratio(a: str, b: str) -> float:
     best = 0.0
     for start in range(1 - n, m):
         lo, hi = max(0, start), min(m, start + n)
-        # A window that opens or closes on a letter the short text lacks loses to its neighbour.
-        if long[hi - 1] not in where or (hi == m and long[lo] not in where):
+        # A window closing (at the end: opening) on a letter the short text lacks loses to its neighbour.
+        if (start <= m - n and long[hi - 1] not in where) or (start >= m - n and long[lo] not in where):
             continue
         span = n + hi - lo
         if 200.0 * min(n, hi - lo) / span <= best:
