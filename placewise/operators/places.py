@@ -113,14 +113,17 @@ def place_summary(members: DataFrame) -> DataFrame:
     )
 
 
-def assign_clusters(visits: DataFrame, clusters: DataFrame, members: DataFrame, lat: str, lon: str) -> tuple[DataFrame, DataFrame]:
+def assign_clusters(
+    visits: DataFrame, clusters: DataFrame, members: DataFrame, lat: str, lon: str, half: float = geo.box_degrees(100)
+) -> tuple[DataFrame, DataFrame]:
     """Successful visits join the first cluster (by id) in their 100 m box, else found one: (membership, clusters).
 
     An account without a cluster in reach founds one at its first such visit.
     ``members``: cluster_id, account_id. Returned clusters carry visit_count
     (members) and confidence.
     """
-    found = proximity.box_neighbours(visits, "visit_id", lat, lon, geo.box_degrees(100), 1, clusters, "cluster_id")
+    at = clusters.select("cluster_id", F.col("latitude").alias(lat), F.col("longitude").alias(lon))
+    found = proximity.box_neighbours(visits, "visit_id", lat, lon, half, 1, at, "cluster_id")
     joined = visits.join(found.select("visit_id", F.col("neighbour").alias("cluster_id")), "visit_id", "left")
     first = F.min_by(F.struct("visit_id", F.col(lat).alias("latitude"), F.col(lon).alias("longitude")), F.struct("checkin_ts", "visit_id"))
     fresh = joined.filter(F.col("cluster_id").isNull()).groupBy("account_id").agg(first.alias("_v")).select(

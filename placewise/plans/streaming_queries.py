@@ -55,11 +55,20 @@ def p4(t):
 def p5(t):
     """Score each arriving visit and keep the merged location of the touched accounts."""
     s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
-    handler = arrivals.ArrivalRefresh(t.spark, folder, "")
+    handler = arrivals.ArrivalRefresh(t.spark, folder)
     arrivals.run_batches(_canonical(s.visits), handler, f"{folder}/state")
     return handler.latest_locations().select("account_id", "x", "y", "confidence", "location_source")
 
 
+@query("p7_incremental_clusters")
+def p7(t):
+    """Place clusters grown from the arriving successful visits."""
+    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
+    handler = arrivals.ArrivalRefresh(t.spark, folder)
+    arrivals.run_batches(_canonical(s.visits), handler, f"{folder}/state")
+    return handler.clusters()
+
+
 @query("p8_streaming_productivity", f"SELECT * FROM ({_PROD}) WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(checkin_ts) - INTERVAL 1 DAY FROM v_visits)")
 def p8(t):
     s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)

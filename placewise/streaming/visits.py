@@ -85,7 +85,6 @@ class ArrivalRefresh:
 
     spark: SparkSession
     root: str
-    schema: str
 
     def _earlier(self, name: str, batch_id: int) -> DataFrame | None:
         path = f"{self.root}/{name}"
@@ -118,10 +117,30 @@ class ArrivalRefresh:
                 F.lit("visit_confirmed").alias("source"),
             )
             self._write(places.merge_locations(hits), "locations", batch_id)
+            self._grow_clusters(batch, batch_id)
             self._write(batch, "visits", batch_id)
         finally:
             batch.unpersist()
 
+    def _grow_clusters(self, batch: DataFrame, batch_id: int) -> None:
+        """Successful visits join a cluster within 100 m or found one; each batch writes the next snapshot."""
+        previous = {}
+        for name, schema in (("clusters", CLUSTERS), ("members", "cluster_id string, account_id long")):
+            empty = self.spark.createDataFrame([], schema)
+            if batch_id == 0:
+                previous[name] = empty
+            else:
+                previous[name] = self.spark.read.parquet(f"{self.root}/{name}/batch={batch_id - 1}")
+        hits = batch.filter(F.col("outcome").isin(*config.CANONICAL_SUCCESS))
+        members, clusters = places.assign_clusters(hits, previous["clusters"], previous["members"], "checkin_x", "checkin_y", 100.0)
+        self._write(members, "members", batch_id)
+        self._write(clusters, "clusters", batch_id)
+
+    def clusters(self) -> DataFrame:
+        """The newest cluster snapshot."""
+        rows = self.spark.read.parquet(f"{self.root}/clusters")
+        return rows.filter(F.col("batch") == rows.agg(F.max("batch").alias("b")).scalar()).drop("batch")
+
     def latest_locations(self) -> DataFrame:
         """The newest merged location of every account over all batches."""
         rows = self.spark.read.parquet(f"{self.root}/locations")
@@ -131,6 +150,7 @@ class ArrivalRefresh:
         )
 
 
+CLUSTERS = "cluster_id string, latitude double, longitude double, visit_count long, confidence double"
 TRACKS = (
     "visit_id long, n_points long, length_m double, straight_m double, efficiency double, mean_speed_ms double, max_speed_ms double, "
     "stdev_speed_ms double, stationary_s double, gps_jumps long, span_s double, start_a double, start_b double, end_a double, end_b double"
@@ -147,7 +167,7 @@ class ContactGuard:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            earlier = ArrivalRefresh(self.spark, self.root, "")._earlier("log", batch_id)
+            earlier = ArrivalRefresh(self.spark, self.root)._earlier("log", batch_id)
             rows = batch.withColumn("_new", F.lit(True))
             if earlier is not None:
                 oldest = batch.agg(F.min("attempted_at").alias("t")).scalar()
