@@ -142,7 +142,7 @@ def k17(t):
 def k17_summary(t):
     """Error, coverage and confidence of the fused predictions on surveyed addresses."""
     e = Evidence(t)
-    out = fusion.predict(e.parsed, e.components, t.visits, t.towns, e.fit())
+    out = settled(fusion.predict(e.parsed, e.components, t.visits, t.towns, e.fit()))
     frame = t.surveyed.join(t.addresses, "address_id")
     return rounded(evaluation.summarise(frame, out.select("address_id", F.col("x").alias("pred_x"), F.col("y").alias("pred_y"), "radius_m")))
 
@@ -151,6 +151,6 @@ def k17_summary(t):
 def k18(t):
     """Own visits hidden: text-only error against the median successful visit."""
     e = Evidence(t)
-    out = fusion.predict(e.parsed, e.components, None, t.towns, e.fit()).join(e.labels, "address_id")
+    out = settled(fusion.predict(e.parsed, e.components, None, t.towns, e.fit())).join(e.labels, "address_id")
     scored = out.withColumn("error_m", geo.euclidean_m("x", "y", "label_x", "label_y"))
     return rounded(metrics.error_summary(scored, radius="radius_m"))

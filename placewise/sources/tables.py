@@ -9,34 +9,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Schema of each split table, its folder and its id column(s) (fixed values).
+# Id column(s) and schema of each split table (fixed values).
 SPLIT_TABLES = {
-    "towns": ("PS_3", ["town_id"], "town_id string, town_name string, address_style string, approx_radius_m double"),
-    "localities": ("PS_3", ["locality_id"], "locality_id string, town_id string, locality_name string, pincode string, centroid_x double, centroid_y double"),
-    "landmarks_poi": ("PS_3", ["poi_id"], "poi_id string, town_id string, landmark_type string, name string, x double, y double"),
-    "baseline_geocodes": ("PS_3", ["address_id"], "address_id string, geocoder_x double, geocoder_y double, precision string"),
-    "surveyed_addresses": ("PS_3", ["address_id"], "address_id string, surveyed_x double, surveyed_y double"),
-    "visit_gps_points": ("PS_3", ["visit_id", "seq"], "visit_id string, seq int, point_ts string, x double, y double, accuracy_m double"),
+    "towns": (["town_id"], "town_id string, town_name string, address_style string, approx_radius_m double"),
+    "localities": (["locality_id"], "locality_id string, town_id string, locality_name string, pincode string, centroid_x double, centroid_y double"),
+    "landmarks_poi": (["poi_id"], "poi_id string, town_id string, landmark_type string, name string, x double, y double"),
+    "baseline_geocodes": (["address_id"], "address_id string, geocoder_x double, geocoder_y double, precision string"),
+    "surveyed_addresses": (["address_id"], "address_id string, surveyed_x double, surveyed_y double"),
+    "visit_gps_points": (["visit_id", "seq"], "visit_id string, seq int, point_ts string, x double, y double, accuracy_m double"),
     "accounts": (
-        "Shared", ["account_id"],
+        ["account_id"],
         "account_id string, lender_id string, portfolio string, income_type string, town_id string, preferred_language string, bucket_start string, "
         "dpd_start int, emi_amount double, overdue_start double, outstanding double, salary_credit_day double, bureau_score_band string, "
         "other_active_loans int, paid_other_lenders_30d string, last_bounce_reason string, ability_to_pay_estimate double, prev_ptp_count int, "
         "prev_ptp_broken int, dialling_arm string",
     ),
-    "addresses": ("Shared", ["address_id"], "address_id string, account_id string, address_type string, source string, added_date string, town_id string, address_text string"),
+    "addresses": (["address_id"], "address_id string, account_id string, address_type string, source string, added_date string, town_id string, address_text string"),
     "field_visits": (
-        "Shared", ["visit_id"],
+        ["visit_id"],
         "visit_id string, account_id string, address_id string, agent_id string, visit_date string, start_ts string, checkin_ts string, checkin_x double, "
         "checkin_y double, gps_accuracy_m double, dwell_s int, outcome string, ptp_id string, remark string, photo_hash string",
     ),
-    "agents": ("Shared", ["agent_id"], "agent_id string, channel string, language_team string, town_id string, tenure_months double, shift string"),
+    "agents": (["agent_id"], "agent_id string, channel string, language_team string, town_id string, tenure_months double, shift string"),
 }
 REQUIRED_FOR_EVALUATION = ("addresses", "field_visits", "surveyed_addresses", "baseline_geocodes", "towns")
 
 
 def split_path(root: str, table: str, split: str) -> str:
-    return f"{root}/{SPLIT_TABLES[table][0]}/{table}/{table}_{split}.csv"
+    return f"{root}/{table}/{table}_{split}.csv"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -46,7 +46,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_split(spark: SparkSession, root: str, table: str, split: str = "train") -> DataFrame:
     """One typed table. A missing file is an empty table; a repeated id keeps its last row; GPS points keep all."""
-    _, keys, schema = SPLIT_TABLES[table]
+    keys, schema = SPLIT_TABLES[table]
     path = split_path(root, table, split)
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)

@@ -79,7 +79,7 @@ def test_confirmed_location_wins(spark):
 
 
 def test_read_split(spark, tmp_path):
-    folder = tmp_path / "PS_3" / "towns"
+    folder = tmp_path / "towns"
     folder.mkdir(parents=True)
     (folder / "towns_train.csv").write_text("town_id,town_name,address_style,approx_radius_m\nT1,A,metro,10\nT2,B,,20\nT1,C,hindi,30\n")
     rows = {r.town_id: r for r in tables.read_split(spark, str(tmp_path), "towns").collect()}
