@@ -181,6 +181,8 @@ def links(values: DataFrame, budget: int = 4, least_nodes: int = 24, most_nodes:
     spark = values.sparkSession
     prefix = F.shiftrightunsigned("fp", BITS - TOP_BITS).cast("int")
     counts = [(r.p, r.n) for r in values.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    if not counts:
+        return spark.createDataFrame([], "a long, b long")
     total = sum(n for _, n in counts)
     nodes = _top_nodes(counts, max(1, total // min(most_nodes, max(least_nodes, total // node_rows))))
     pairs = [(i, j) for i in range(len(nodes)) for j in range(i, len(nodes)) if _allowed(nodes[i], nodes[j], budget)]
