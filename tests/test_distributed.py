@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placewise.functions import ranks
+from placewise.functions.gazetteer import LANDMARK_TYPES
 from placewise.operators import candidates, fusion, places, proximity, street_model
 
 
@@ -118,18 +119,88 @@ def test_street_neighbours_leave_own_account_out(spark):
         assert got[aid].y == pytest.approx(np.median([o[1] for o in others]))
 
 
-def test_street_model_paths_agree(spark):
-    rng = random.Random(8)
-    points = [("L1", "karnataka", i, float(i % 9 + 1), float(i % 7 + 1), None, (i % 9) * 40.0 + rng.gauss(0, 1), (i % 7) * 50.0 + rng.gauss(0, 1)) for i in range(126)]
-    pts = spark.createDataFrame(points, "locality_id string, style string, account_id long, s1 double, s2 double, landmark_type string, dx double, dy double")
-    asked = spark.createDataFrame([(i, i, "L1", float(i % 9 + 1), float(i % 7 + 1), None) for i in range(0, 200, 9)], "address_id long, account_id long, locality_id string, s1 double, s2 double, landmark_type string")
-    exact = {r.address_id: r for r in street_model.street_predictions(pts, asked).collect()}
-    large = {r.address_id: r for r in street_model.street_predictions(pts, asked, exact_points=10).collect()}
-    assert set(exact) == set(large) and len(exact) == 23
-    for i, r in exact.items():
-        assert r.source == large[i].source == "reg_st_n3"
-        assert math.hypot(r.dx - (i % 9) * 40, r.dy - (i % 7) * 50) < 15
-        assert math.hypot(r.dx - large[i].dx, r.dy - large[i].dy) < 1.0
+def _slow_fit(points, ask):
+    """Offset and source of one asked shape from a row-by-row ridge fit on ``points`` (style, s1, s2, kind, dx, dy)."""
+    style = points[0][0]
+    med = lambda v: float(np.median(v)) if v else 0.0
+    c1, c2 = med([p[1] for p in points if p[1] is not None]), med([p[2] for p in points if p[2] is not None])
+
+    def row(s1, s2, kind):
+        out = [(1.0, 1e-6)]
+        if style == "metro":
+            for b in range(1, 9):
+                out.append((float(s2 is not None and int(s2) == b), 1.0))
+                out.append((s1 - 3.5 if s1 is not None and s2 is not None and int(s2) == b else 0.0, 4.0))
+            out.append((s1 - 3.5 if s1 is not None else 0.0, 1.0))
+        else:
+            for s, c in ((s1, c1), (s2, c2)):
+                out += [(0.0 if s is None else s - c, 0.01), (float(s is None), 1.0)]
+        return out + [(float(kind == k), 3.0) for k in LANDMARK_TYPES]
+
+    rows = [[t[0] for t in row(*p[1:4])] for p in points]
+    ridge = np.diag(np.sqrt([t[1] for t in row(*points[0][1:4])]))
+    y = np.array([p[4:] for p in points])
+    keep = list(range(len(points)))
+    for _ in range(3):
+        x = np.array([rows[i] for i in keep])
+        w = np.linalg.lstsq(np.vstack([x, ridge]), np.vstack([y[keep], np.zeros((len(ridge), 2))]), rcond=None)[0]
+        gaps = [math.dist(y[i], np.array(rows[i]) @ w) for i in range(len(points))]
+        limit = max(150.0, 3 * float(np.median([gaps[i] for i in keep])))
+        left = [i for i, g in enumerate(gaps) if g <= limit]
+        if len(left) < max(4, 0.6 * len(points)) or left == keep:
+            break
+        keep = left
+    return np.array([t[0] for t in row(*ask)]) @ w, len(keep)
+
+
+@pytest.mark.parametrize("style,size,outliers,seed", [("karnataka", 80, 0, 1), ("karnataka", 80, 30, 2), ("metro", 300, 40, 3), ("hindi", 3600, 500, 4)])
+def test_street_model_refits_each_held_out_account(spark, style, size, outliers, seed):
+    rng = random.Random(seed)
+    maybe = lambda v: None if rng.random() < 0.15 else float(v)
+    known = []
+    for i in range(size):
+        s1, s2, kind = maybe(rng.randint(1, 9)), maybe(rng.randint(1, 7)), rng.choice([None, *LANDMARK_TYPES[:3]])
+        # The outliers belong to one account.
+        away, account = (2500.0, 999) if i < outliers else (0.0, rng.randint(0, size // 4))
+        known.append(("L1", style, account, s1, s2, kind, (s1 or 4) * 40 + rng.gauss(0, 20) + away, (s2 or 4) * 50 + rng.gauss(0, 20)))
+    asked = [(k, acc, "L1", *rng.choice(known)[3:6]) for k, acc in enumerate([999, 0, 1, 2, 5, 10**6])]
+    pts = spark.createDataFrame(known, "locality_id string, style string, account_id long, s1 double, s2 double, landmark_type string, dx double, dy double")
+    ask = spark.createDataFrame(asked, "address_id long, account_id long, locality_id string, s1 double, s2 double, landmark_type string")
+    got = {r.address_id: r for r in street_model.street_predictions(pts, ask, accounts_per_task=2).collect()}
+    for k, account, _, s1, s2, kind in asked:
+        rest = [(p[1], *p[3:]) for p in known if p[2] != account]
+        seen = kind is not None and any(p[3] == kind for p in rest)
+        if s1 is None and s2 is None and not seen:
+            assert k not in got
+            continue
+        want, kept = _slow_fit(rest, (s1, s2, kind))
+        assert (got[k].dx, got[k].dy) == pytest.approx(tuple(want), abs=1e-5)
+        assert got[k].source == street_model.source_name(s1 is not None or s2 is not None, seen, kept)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cluster_growth_one_by_one_and_in_batches(spark, seed):
+    rng = random.Random(seed)
+    # A crowded strip, where founders hide each other, and a far field.
+    visits = [(i, rng.randint(0, 30), rng.randint(0, 40), rng.uniform(0, 900), rng.uniform(0, 150)) for i in range(160)]
+    visits += [(200 + i, rng.randint(0, 30), 50 + i, rng.uniform(5000, 9000), rng.uniform(5000, 9000)) for i in range(30)]
+    standing = [("C1", 50.0, 50.0), ("C2", 60.0, 60.0)]
+    members, centres = {("C1", 7)}, list(standing)
+    for v, t, acc, x, y in sorted(visits, key=lambda r: (r[1], r[0])):
+        near = [c for c, a, b in centres if x - 100 <= a <= x + 100 and y - 100 <= b <= y + 100]
+        if not near:
+            centres.append((f"N{v}", x, y))
+        members.add((min(near) if near else f"N{v}", acc))
+    clusters = spark.createDataFrame(standing, "cluster_id string, latitude double, longitude double")
+    started = spark.createDataFrame([("C1", 7)], "cluster_id string, account_id long")
+    frame = lambda rows: spark.createDataFrame(rows, "visit_id long, checkin_ts int, account_id long, x double, y double")
+    whole, grown = places.assign_clusters(frame(visits), clusters, started, "x", "y", 100.0)
+    assert {tuple(r) for r in whole.select("cluster_id", "account_id").collect()} == members
+    assert {r.cluster_id for r in grown.collect()} == {c for c, _, _ in centres} - ({"C2"} - {c for c, _ in members})
+    for low, high in ((0, 10), (10, 17), (17, 99)):
+        started, clusters = places.assign_clusters(frame([r for r in visits if low <= r[1] < high]), clusters, started, "x", "y", 100.0)
+        clusters = clusters.select("cluster_id", "latitude", "longitude").unionByName(spark.createDataFrame(standing, clusters.select("cluster_id", "latitude", "longitude").schema)).distinct()
+    assert {tuple(r) for r in started.select("cluster_id", "account_id").collect()} == members
 
 
 def test_spatial_clusters_against_union_find(spark):
