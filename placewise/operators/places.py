@@ -113,28 +113,61 @@ def place_summary(members: DataFrame) -> DataFrame:
     )
 
 
+def _within(visits: DataFrame, centres: DataFrame, half: float) -> DataFrame:
+    """Pairs of ``visits`` (v, at, on, ...) and ``centres`` (c, c_at, c_on, ...) in one box; only the centres are copied to neighbour cells."""
+    spread = centres.withColumn("_o", F.explode(geo.offsets(1))).select(
+        *centres.columns, (geo.cell("c_at", half) + F.col("_o.dx")).alias("_ca"), (geo.cell("c_on", half) + F.col("_o.dy")).alias("_cb")
+    )
+    placed = visits.withColumns({"_ca": geo.cell("at", half), "_cb": geo.cell("on", half)})
+    near = F.col("c_at").between(F.col("at") - half, F.col("at") + half) & F.col("c_on").between(F.col("on") - half, F.col("on") + half)
+    return placed.join(spread, ["_ca", "_cb"]).filter(near).drop("_ca", "_cb")
+
+
+def founders(visits: DataFrame, half: float) -> DataFrame:
+    """Visits (v, t, at, on) that have no earlier founder, in (t, v) order, in their box.
+
+    Two visits of one cell of side ``half`` are in one box, so a cell has one founder at
+    most. Each round the first open visit of a cell is its candidate; it founds if no
+    earlier open visit stands in its box, and its founder then covers others.
+    An open visit meets at most nine candidates.
+    """
+    spot = F.struct("at", "on")
+    open_ = settled(visits.select("v", "t", "at", "on"))
+    done = None
+    while not open_.isEmpty():
+        by_cell = open_.groupBy(geo.cell("at", half).alias("_ca"), geo.cell("on", half).alias("_cb"))
+        first = settled(by_cell.agg(F.min_by(F.struct("v", "t", spot.alias("p")), F.struct("t", "v")).alias("_f")).select(
+            F.col("_f.v").alias("c"), F.col("_f.t").alias("c_t"), F.col("_f.p.at").alias("c_at"), F.col("_f.p.on").alias("c_on")
+        ))
+        earlier = _within(open_, first, half).filter(F.struct("t", "v") < F.struct("c_t", "c")).select("c").distinct()
+        new = settled(first.join(earlier, "c", "left_anti"))
+        covered = _within(open_, new, half).select("v").distinct()
+        open_ = settled(open_.join(covered, "v", "left_anti"))
+        done = new if done is None else done.unionByName(new)
+    none = visits.filter("false").select(F.col("v").alias("c"), F.col("t").alias("c_t"), F.col("at").alias("c_at"), F.col("on").alias("c_on"))
+    return none if done is None else done
+
+
 def assign_clusters(
     visits: DataFrame, clusters: DataFrame, members: DataFrame, lat: str, lon: str, half: float = geo.box_degrees(100)
 ) -> tuple[DataFrame, DataFrame]:
-    """Successful visits join the first cluster (by id) in their 100 m box, else found one: (membership, clusters).
+    """Successful visits join the first cluster (by id) that stands in their 100 m box at their time, else found one: (membership, clusters).
 
-    An account without a cluster in reach founds one at its first such visit.
-    ``members``: cluster_id, account_id. Returned clusters carry visit_count
-    (members) and confidence.
+    Visits count in (checkin_ts, visit_id) order, so the result does not depend on how
+    they are cut into batches. ``members``: cluster_id, account_id. Returned clusters
+    carry visit_count (members) and confidence.
     """
-    at = clusters.select("cluster_id", F.col("latitude").alias(lat), F.col("longitude").alias(lon))
-    found = proximity.box_neighbours(visits, "visit_id", lat, lon, half, 1, at, "cluster_id")
-    joined = visits.join(found.select("visit_id", F.col("neighbour").alias("cluster_id")), "visit_id", "left")
-    first = F.min_by(F.struct("visit_id", F.col(lat).alias("latitude"), F.col(lon).alias("longitude")), F.struct("checkin_ts", "visit_id"))
-    fresh = joined.filter(F.col("cluster_id").isNull()).groupBy("account_id").agg(first.alias("_v")).select(
-        F.concat(F.lit("N"), F.col("_v.visit_id").cast("string")).alias("cluster_id"), "account_id", "_v.latitude", "_v.longitude"
-    )
-    membership = (
-        members.select("cluster_id", "account_id")
-        .unionByName(joined.filter(F.col("cluster_id").isNotNull()).select("cluster_id", "account_id"))
-        .unionByName(fresh.select("cluster_id", "account_id"))
-        .distinct()
-    )
+    rows = settled(visits.select(
+        F.col("visit_id").alias("v"), F.col("checkin_ts").alias("t"), F.col(lat).cast("double").alias("at"), F.col(lon).cast("double").alias("on"), "account_id"
+    ))
+    standing = clusters.select(F.col("cluster_id"), F.col("latitude").alias("c_at"), F.col("longitude").alias("c_on"))
+    matched = settled(_within(rows, standing, half).groupBy("v").agg(F.min("cluster_id").alias("_old")))
+    fresh = settled(founders(rows.join(matched, "v", "left_anti"), half).withColumn("cluster_id", F.concat(F.lit("N"), F.col("c").cast("string"))))
+    at_their_time = F.struct("c_t", "c") <= F.struct("t", "v")
+    joined = _within(rows, fresh, half).filter(at_their_time).groupBy("v").agg(F.min("cluster_id").alias("_new"))
+    placed = rows.join(matched, "v", "left").join(joined, "v", "left").withColumn("cluster_id", F.least("_old", "_new"))
+    fresh = fresh.select("cluster_id", F.col("c_at").alias("latitude"), F.col("c_on").alias("longitude"))
+    membership = members.select("cluster_id", "account_id").unionByName(placed.select("cluster_id", "account_id")).distinct()
     size = membership.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("visit_count"))
     everywhere = clusters.select("cluster_id", "latitude", "longitude").unionByName(fresh.select("cluster_id", "latitude", "longitude"))
     out = everywhere.join(size, "cluster_id").withColumn("confidence", F.least(F.lit(1.0), 0.5 + F.col("visit_count") * 0.1))
@@ -167,16 +200,32 @@ def propagate_confirmations(confirmations: DataFrame, members: DataFrame, curren
 
     ``confirmations``: cluster_id, account_id, visit_id, ts, x, y, reliability, radius_m;
     ``members``: cluster_id, account_id; ``current``: account_id, location_source,
-    confidence. A member confirmed with at least this reliability is left alone.
-    Only the best confirmation of a cluster can matter, so it is picked first.
+    confidence. Confirmations are taken in (ts, visit_id) order: a member that is itself
+    confirmed yields once a confirmation by another account is more reliable than it,
+    and from then on takes each later one. So it ends at the latest confirmation by
+    another account if any of those exceeds its own reliability. For each cluster the
+    latest ones and the highest reliabilities of two accounts answer that for every
+    member.
     """
     row = F.struct("account_id", "visit_id", "ts", "x", "y", "reliability", "radius_m")
-    latest = confirmations.groupBy("cluster_id").agg(F.max_by(row, F.struct("ts", "visit_id")).alias("_c"))
-    rows = latest.join(members, "cluster_id").filter(F.col("account_id") != F.col("_c.account_id")).join(
+    by_account = confirmations.groupBy("cluster_id", "account_id").agg(
+        F.max_by(row, F.struct("ts", "visit_id")).alias("_last"), F.max("reliability").alias("_top")
+    )
+    order, top = F.struct("_last.ts", "_last.visit_id"), F.struct("_top", "account_id")
+    firsts = by_account.groupBy("cluster_id").agg(F.max_by("_last", order).alias("_l1"), F.max(top).alias("_t1"))
+    rest = by_account.join(firsts.select("cluster_id", F.col("_l1.account_id").alias("_al"), F.col("_t1.account_id").alias("_at")), "cluster_id")
+    seconds = rest.groupBy("cluster_id").agg(
+        F.max_by(F.when(F.col("account_id") != F.col("_al"), F.col("_last")), F.when(F.col("account_id") != F.col("_al"), order)).alias("_l2"),
+        F.max(F.when(F.col("account_id") != F.col("_at"), F.col("_top"))).alias("_t2"),
+    )
+    rows = firsts.join(seconds, "cluster_id").join(members, "cluster_id").join(
         current.select("account_id", "location_source", F.col("confidence").alias("_have")), "account_id", "left"
     )
-    settled_better = (F.col("location_source") == "visit_confirmed") & (F.coalesce(F.col("_have"), F.lit(0.0)) >= F.col("_c.reliability"))
-    return rows.filter(~F.coalesce(settled_better, F.lit(False))).select(
+    rows = rows.withColumn("_c", F.when(F.col("_l1.account_id") != F.col("account_id"), F.col("_l1")).otherwise(F.col("_l2"))).withColumn(
+        "_best", F.when(F.col("_t1.account_id") != F.col("account_id"), F.col("_t1._top")).otherwise(F.col("_t2"))
+    )
+    stays = (F.col("location_source") == "visit_confirmed") & (F.coalesce(F.col("_have"), F.lit(0.0)) >= F.col("_best"))
+    return rows.filter(F.col("_c").isNotNull() & ~F.coalesce(stays, F.lit(False))).select(
         "account_id", "cluster_id", F.col("_c.visit_id").alias("event_id"), F.col("_c.ts").alias("ts"), F.col("_c.x").alias("x"), F.col("_c.y").alias("y"),
         F.col("_c.reliability").alias("confidence"), F.col("_c.radius_m").alias("radius_m"), F.lit("cluster_confirmed").alias("source"),
     )

@@ -36,10 +36,16 @@ def l6(t):
 @query(
     "l7_incremental_clusters",
     f"""
-WITH v AS (SELECT visit_id, account_id, checkin_ts, 12.97 + checkin_y / 111000 AS lat, 77.59 + checkin_x / 108168 AS lon FROM v_visits WHERE {_OK}),
-f AS (SELECT v.*, (SELECT min(c.cluster_id) FROM v_clusters c WHERE c.latitude BETWEEN v.lat - 100 / 111000 AND v.lat + 100 / 111000 AND c.longitude BETWEEN v.lon - 100 / 111000 AND v.lon + 100 / 111000) AS cluster_id FROM v),
-n AS (SELECT concat('N', visit_id) AS cluster_id, account_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY checkin_ts, visit_id) AS rn FROM f WHERE cluster_id IS NULL) WHERE rn = 1),
-m AS (SELECT place_cluster_id AS cluster_id, account_id FROM v_accounts WHERE place_cluster_id IS NOT NULL UNION SELECT cluster_id, account_id FROM f WHERE cluster_id IS NOT NULL UNION SELECT * FROM n)
+WITH RECURSIVE v AS (SELECT visit_id, account_id, checkin_ts, 12.97 + checkin_y / 111000 AS lat, 77.59 + checkin_x / 108168 AS lon FROM v_visits WHERE {_OK}),
+f AS (SELECT v.*, (SELECT min(c.cluster_id) FROM v_clusters c WHERE c.latitude BETWEEN v.lat - 100 / 111000 AND v.lat + 100 / 111000 AND c.longitude BETWEEN v.lon - 100 / 111000 AND v.lon + 100 / 111000) AS old FROM v),
+u AS (SELECT *, row_number() OVER (ORDER BY checkin_ts, visit_id) AS k FROM f WHERE old IS NULL),
+s(k, founded) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, lat DOUBLE, lon DOUBLE)[])
+ UNION ALL SELECT u.k, CASE WHEN len(list_filter(s.founded, lambda x: x.lat BETWEEN u.lat - 100 / 111000 AND u.lat + 100 / 111000 AND x.lon BETWEEN u.lon - 100 / 111000 AND u.lon + 100 / 111000)) > 0
+  THEN s.founded ELSE list_append(s.founded, {{'id': u.visit_id, 'lat': u.lat, 'lon': u.lon}}) END FROM s JOIN u ON u.k = s.k + 1),
+n AS (SELECT concat('N', z.id) AS cluster_id, z.lat AS latitude, z.lon AS longitude, w.checkin_ts, w.visit_id FROM (SELECT unnest(founded) AS z FROM (SELECT founded FROM s ORDER BY k DESC LIMIT 1)) JOIN v w ON w.visit_id = z.id),
+p AS (SELECT f.account_id, least(f.old, (SELECT min(n.cluster_id) FROM n WHERE n.latitude BETWEEN f.lat - 100 / 111000 AND f.lat + 100 / 111000 AND n.longitude BETWEEN f.lon - 100 / 111000 AND f.lon + 100 / 111000
+  AND (n.checkin_ts < f.checkin_ts OR (n.checkin_ts = f.checkin_ts AND n.visit_id <= f.visit_id)))) AS cluster_id FROM f),
+m AS (SELECT place_cluster_id AS cluster_id, account_id FROM v_accounts WHERE place_cluster_id IS NOT NULL UNION SELECT cluster_id, account_id FROM p)
 SELECT m.cluster_id, count(*) AS visit_count, round(least(1.0, 0.5 + count(*) * 0.1), 4)::DOUBLE AS confidence FROM m WHERE m.cluster_id IN (SELECT cluster_id FROM v_clusters UNION SELECT cluster_id FROM n) GROUP BY 1""",
 )
 def l7(t):
@@ -77,10 +83,11 @@ def l8(t):
 
 @query(
     "l9_cluster_propagation",
-    f"""WITH c AS (SELECT * FROM (SELECT a.place_cluster_id AS cluster_id, v.account_id, v.visit_id, v.checkin_x, v.checkin_y, (v.visit_id % 100) / 100.0 AS rel, row_number() OVER (PARTITION BY a.place_cluster_id ORDER BY v.checkin_ts DESC, v.visit_id DESC) AS rn
-  FROM v_visits v JOIN v_accounts a ON a.account_id = v.account_id WHERE v.{_OK} AND a.place_cluster_id IS NOT NULL) WHERE rn = 1)
-SELECT m.account_id, c.cluster_id, c.visit_id AS event_id, c.checkin_x AS x, c.checkin_y AS y FROM c JOIN v_accounts m ON m.place_cluster_id = c.cluster_id AND m.account_id <> c.account_id
- WHERE NOT (m.account_id % 2 = 0 AND coalesce(m.confidence, 0) >= c.rel)""",
+    f"""WITH c AS (SELECT a.place_cluster_id AS cluster_id, v.account_id, v.visit_id, v.checkin_ts, v.checkin_x, v.checkin_y, (v.visit_id % 100) / 100.0 AS rel
+  FROM v_visits v JOIN v_accounts a ON a.account_id = v.account_id WHERE v.{_OK} AND a.place_cluster_id IS NOT NULL)
+SELECT account_id, cluster_id, event_id, x, y FROM (SELECT m.account_id, coalesce(m.confidence, 0) AS have, c.cluster_id, c.visit_id AS event_id, c.checkin_x AS x, c.checkin_y AS y,
+ max(c.rel) OVER (PARTITION BY m.account_id) AS best, row_number() OVER (PARTITION BY m.account_id ORDER BY c.checkin_ts DESC, c.visit_id DESC) AS rn
+ FROM c JOIN v_accounts m ON m.place_cluster_id = c.cluster_id AND m.account_id <> c.account_id) WHERE rn = 1 AND NOT (account_id % 2 = 0 AND have >= best)""",
 )
 def l9(t):
     members = t.accounts.filter(F.col("place_cluster_id").isNotNull()).select(F.col("place_cluster_id").alias("cluster_id"), "account_id")

@@ -81,7 +81,7 @@ FROM v_visits CROSS JOIN (SELECT 0 AS seq UNION ALL SELECT 1 UNION ALL SELECT 2
 SELECT event_id AS id, user_id AS account_id, ts AS attempted_at,
        CASE event_type WHEN 'click' THEN 'SMS' WHEN 'view' THEN 'WHATSAPP' WHEN 'purchase' THEN 'FIELD_VISIT' WHEN 'signup' THEN 'PHONE_CALL' ELSE 'EMAIL' END AS channel,
        CASE WHEN event_id % 97 = 0 THEN 'COMPLAINT' WHEN event_id % 2 = 0 THEN 'REACHED' ELSE 'NOT_REACHED' END AS outcome
-FROM events WHERE event_id % 3 = 0""",
+FROM events""",
     # Operational accounts (WGS84). Every fifth account has no location yet.
     "v_accounts": """
 SELECT t.account_id, a.address_text AS address, t.locality_name AS locality, t.pincode, w.town_name AS city, t.town_id,
@@ -150,8 +150,9 @@ def duckdb_sql(select: str) -> str:
     if not names:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n].strip()})" for n in names)
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
     return f"WITH {ctes}\n{body}"
 
 

@@ -38,7 +38,7 @@ def main() -> int:
     ap.add_argument("prefixes", nargs="*")
     args = ap.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
-    spark = local_session(8)
+    spark = local_session(int(os.environ.get("CHECK_CPUS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
