@@ -42,8 +42,16 @@ def ratio_at_least(a: str, b: str, threshold: float) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ``ratio`` of the shorter text against same-length and edge windows of the longer."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    """Best ``ratio`` of the shorter text against same-length and edge windows of the longer.
+
+    Of two texts of one length either can slide along the other.
+    """
+    if len(a) == len(b):
+        return max(_slide(a, b), _slide(b, a))
+    return _slide(a, b) if len(a) < len(b) else _slide(b, a)
+
+
+def _slide(short: str, long: str) -> float:
     if not short:
         return 100.0 if not long else 0.0
     if short in long:

@@ -92,8 +92,8 @@ def radius_from_errors(df: DataFrame, confidence: str, errors: DataFrame, error:
 
 
 def _bin(confidence: str) -> Column:
-    """Ten right-open bins; 1.0 joins the last one."""
-    return F.least(F.floor(F.col(confidence) * 10), F.lit(9)).cast("int")
+    """Ten right-open bins with edges k * 0.1 in double arithmetic (0.3 lies below the third edge); 1.0 joins the last one."""
+    return sum((F.col(confidence) >= k * 0.1).cast("int") for k in range(1, 10))
 
 
 def reliability_table(df: DataFrame, confidence: str, hit: Column) -> DataFrame:
@@ -125,8 +125,7 @@ def dataset_calibration(df: DataFrame, confidence: str, error: str, hit_m: float
     spark = df.sparkSession
     rows = df.select(F.col(confidence).alias("_c"), (F.col(error) <= hit_m).cast("double").alias("_h"))
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    index = F.floor(F.col("_c") * 10).cast("int")
-    filled = rows.withColumn("bin", index).filter(F.col("bin") < 10).groupBy("bin").agg(
+    filled = rows.filter((F.col("_c") >= 0) & (F.col("_c") < 1.0)).groupBy(_bin("_c").alias("bin")).agg(
         F.avg("_c").alias("_p"), F.avg("_h").alias("_a"), F.count(F.lit(1)).alias("_n")
     )
     bins = spark.range(10).select(F.col("id").cast("int").alias("bin"))

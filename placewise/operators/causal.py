@@ -76,13 +76,14 @@ def weight_diagnostics(scored: DataFrame) -> DataFrame:
     )
 
 
-def _poisson(uniform: Column, most: int = 8) -> Column:
-    """Poisson(1) count from a uniform number by its distribution function."""
-    out, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(most):
+def _poisson(uniform: Column) -> Column:
+    """Poisson(1) count from a uniform number by its distribution function, as far as doubles tell its steps apart."""
+    out, total, term, k = F.lit(0), 0.0, 0.36787944117144233, 0
+    while total + term > total:
         total += term
         out = out + F.when(uniform > total, 1).otherwise(0)
-        term /= k + 1
+        k += 1
+        term /= k
     return out
 
 

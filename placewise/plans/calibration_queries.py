@@ -76,7 +76,8 @@ def j6(t):
     return rounded(out.select("prediction_id", "radius_m"))
 
 
-_BINS = f"SELECT CAST(least(floor(confidence * 10), 9) AS INT) AS bin, avg(confidence) AS predicted, avg(CAST({_HIT} AS INT)) AS actual, count(*) AS count FROM ({ASOF_SQL}) GROUP BY 1"
+_BIN = "CAST(" + " + ".join(f"CAST(confidence >= {k} * CAST(0.1 AS DOUBLE) AS INT)" for k in range(1, 10)) + " AS INT)"
+_BINS = f"SELECT {_BIN} AS bin, avg(confidence) AS predicted, avg(CAST({_HIT} AS INT)) AS actual, count(*) AS count FROM ({ASOF_SQL}) GROUP BY 1"
 _PART = f"SELECT *, count / (SELECT sum(count) FROM ({_BINS})) * abs(predicted - actual) AS ece_part FROM ({_BINS})"
 
 
@@ -97,10 +98,10 @@ def j8(t):
 
 @query(
     "j9_dataset_calibration",
-    f"""SELECT b.bin, round(coalesce(x.p, b.bin / 10 + 0.05), 4) AS predicted, round(coalesce(x.a, 0), 4) AS actual, coalesce(x.n, 0) AS count,
+    f"""SELECT b.bin, round(coalesce(x.p, b.bin / 10 + 0.05), 6) AS predicted, round(coalesce(x.a, 0), 4) AS actual, coalesce(x.n, 0) AS count,
  round(coalesce(x.n / (SELECT count(*) FROM ({ASOF_SQL})) * abs(x.p - x.a), 0), 6) AS ece_part
-FROM (SELECT CAST(unnest(range(10)) AS INT) AS bin) b LEFT JOIN (SELECT CAST(floor(confidence * 10) AS INT) AS bin, avg(confidence) AS p, avg(CAST(error_m <= 250 AS INT)) AS a, count(*) AS n FROM ({ASOF_SQL}) GROUP BY 1) x ON x.bin = b.bin""",
+FROM (SELECT CAST(unnest(range(10)) AS INT) AS bin) b LEFT JOIN (SELECT {_BIN} AS bin, avg(confidence) AS p, avg(CAST(error_m <= 250 AS INT)) AS a, count(*) AS n FROM ({ASOF_SQL}) WHERE confidence >= 0 AND confidence < 1 GROUP BY 1) x ON x.bin = b.bin""",
 )
 def j9(t):
     out = calibration.dataset_calibration(predictions_with_outcome(t), "confidence", "error_m")
-    return out.select("bin", F.round("predicted", 4).alias("predicted"), F.round("actual", 4).alias("actual"), "count", F.round("ece_part", 6).alias("ece_part"))
+    return out.select("bin", F.round("predicted", 6).alias("predicted"), F.round("actual", 4).alias("actual"), "count", F.round("ece_part", 6).alias("ece_part"))

@@ -101,10 +101,11 @@ def test_partial_ratio_against_all_windows():
     rng = random.Random(3)
     for _ in range(300):
         a = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 15)))
-        b = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 25)))
-        s, t = (a, b) if len(a) <= len(b) else (b, a)
-        windows = [t[max(0, i) : i + len(s)] for i in range(1 - len(s), len(t))]
-        assert fuzzy.partial_ratio(a, b) == pytest.approx(max(fuzzy.ratio(s, w) for w in windows))
+        b = "".join(rng.choice("abcde ") for _ in range(rng.choice([len(a), rng.randint(1, 25)])))
+        sides = [(a, b), (b, a)] if len(a) == len(b) else [min((a, b), (b, a), key=lambda x: len(x[0]))]
+        best = max(fuzzy.ratio(s, t[max(0, i) : i + len(s)]) for s, t in sides for i in range(1 - len(s), len(t)))
+        assert fuzzy.partial_ratio(a, b) == fuzzy.partial_ratio(b, a) == pytest.approx(best)
+    assert fuzzy.partial_ratio("xabx", "abyy") == fuzzy.partial_ratio("abyy", "xabx") == pytest.approx(200 / 3)
 
 
 def test_partial_ratio():
