@@ -33,15 +33,19 @@ def local_session(cpus: int = 8, app: str = "placewise", memory: str = "12g") ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints: the cluster's shared folder when it names one.
 
-    Only a session without ``spark.checkpoint.dir`` (tests, local runs) gets a
-    temporary folder.
+    A local session that names none (tests) gets a temporary folder; a cluster must
+    name one, since its machines do not share theirs.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    if not configured:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="spark-ckpt-")
+    context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
