@@ -11,6 +11,7 @@ from placewise.session import local_session
 
 HEADLINE = [
     "n3_weighted_centroid_summary",
+    "n5_hybrid_predictor",
     "n7_temporal_split_summary",
     "c3_forward_asof_visit",
     "c4_nearby_accounts",
@@ -25,6 +26,8 @@ HEADLINE = [
     "k11_outcome_reliability",
     "k13_visit_clusters",
     "l8_l10_location_merge",
+    "k14_k17_evidence_predictions",
+    "h14_batch_geocode",
 ]
 
 

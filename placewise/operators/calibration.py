@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placewise import config
 from placewise.functions import ranks
+from placewise.session import settled
 
 MIN_RADIUS_M, MAX_RADIUS_M = 10.0, 5000.0
 
@@ -72,7 +73,7 @@ def radius_from_errors(df: DataFrame, confidence: str, errors: DataFrame, error:
 
     Ranks are looked up by an equi-join on rank blocks, so neither side is held in one place.
     """
-    table = ranks.value_ranks(errors, [], error)
+    table = settled(ranks.value_ranks(errors, [], error))
     n = table.agg(F.max("n").alias("n")).scalar()
     rows = df.withColumn("_n", n).withColumn("_pos", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(confidence))) * (F.col("_n") - 1))
     rows = rows.withColumns({"_lo": F.floor("_pos").cast("long"), "_hi": F.ceil("_pos").cast("long")})
@@ -99,15 +100,16 @@ def _bin(confidence: str) -> Column:
 def reliability_table(df: DataFrame, confidence: str, hit: Column) -> DataFrame:
     """Non-empty confidence bins with mean confidence, accuracy, count and share of the calibration error."""
     rows = df.select(F.col(confidence).alias("_c"), hit.cast("double").alias("_h"))
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    bins = rows.groupBy(_bin("_c").alias("bin")).agg(
+    bins = settled(rows.groupBy(_bin("_c").alias("bin")).agg(
         F.avg("_c").alias("predicted"), F.avg("_h").alias("actual"), F.count(F.lit(1)).alias("count")
-    )
+    ))
+    total = bins.agg(F.sum("count").alias("n")).scalar()
     return bins.withColumn("ece_part", F.col("count") / total * F.abs(F.col("predicted") - F.col("actual")))
 
 
 def calibration_report(df: DataFrame, confidence: str, error: str, radius: str) -> DataFrame:
     """Coverage, radius statistics, expected calibration error and mean |confidence - hit| in one row."""
+    df = settled(df.select(confidence, error, radius))
     hit = F.col(error) <= F.col(radius)
     ece = reliability_table(df, confidence, hit).agg(F.sum("ece_part").alias("e")).scalar()
     base = df.agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placewise.functions import ranks
 from placewise.operators import matching, metrics
 from placewise.operators.lookup import is_success
+from placewise.session import settled
 
 CUTOFF_QUANTILE = 0.70
 
@@ -98,6 +99,8 @@ def hybrid_predictor(frame: DataFrame, visits: DataFrame) -> DataFrame:
 def summarise(frame: DataFrame, predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Error summary of predictions against the frame, with the share of the frame they cover."""
     scored = matching.score_predictions(frame, predictions.filter(F.col("pred_x").isNotNull()))
+    # A few numbers for each surveyed address: written once, read by every figure.
+    scored = settled(scored.select(*keys, "error_m", "radius_m"))
     total = frame.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = metrics.error_summary(scored, keys, radius="radius_m")
     return out.withColumn("coverage_rate", F.col("n") / total)
@@ -122,14 +125,14 @@ def ablation_table(frame: DataFrame, visits: DataFrame) -> DataFrame:
 def temporal_split(visits: DataFrame, quantile: float = CUTOFF_QUANTILE) -> DataFrame:
     """Visits with ``is_future``: later than the overall time quantile."""
     rows = visits.withColumn("_us", micros("checkin_ts"))
-    cutoff = ranks.rank_stats(rows, [], "_us", {"c": ranks.linear(quantile)}).scalar()
+    cutoff = settled(ranks.rank_stats(rows, [], "_us", {"c": ranks.linear(quantile)})).scalar()
     return rows.withColumn("cutoff_us", cutoff).withColumn("is_future", F.col("_us") > F.col("cutoff_us")).drop("_us")
 
 
 def account_temporal_split(visits: DataFrame, quantile: float = CUTOFF_QUANTILE) -> DataFrame:
     """Visits with ``is_future`` relative to their own account's time quantile."""
     rows = visits.withColumn("_us", micros("checkin_ts"))
-    cutoffs = ranks.rank_stats(rows, ["account_id"], "_us", {"cutoff_us": ranks.linear(quantile)})
+    cutoffs = settled(ranks.rank_stats(rows, ["account_id"], "_us", {"cutoff_us": ranks.linear(quantile)}))
     return rows.join(cutoffs, "account_id").withColumn("is_future", F.col("_us") > F.col("cutoff_us")).drop("_us")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placewise import config
 from placewise.functions import geo, ranks
+from placewise.session import settled
 
 WITHIN = (50, 100, 250, 500)
 
@@ -120,7 +121,7 @@ def territory_metrics(scored: DataFrame, accounts: DataFrame, visits: DataFrame)
     """Accuracy per territory at every level. ``scored``: account_id, error_m, confidence_radius_m."""
     levels = territory_levels(accounts)
     keys = ["level", "territory"]
-    rows = scored.join(levels, "account_id")
+    rows = settled(scored.select("account_id", "error_m", "confidence_radius_m").join(levels, "account_id").select(*keys, "account_id", "error_m", "confidence_radius_m"))
     per = rows.groupBy(*keys).agg(
         F.count_distinct("account_id").alias("accounts"),
         F.count(F.lit(1)).alias("evaluated_predictions"),

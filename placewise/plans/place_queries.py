@@ -1,9 +1,11 @@
 from pyspark.sql import functions as F
 
-from placewise.operators import lookup, places
+from placewise.operators import lookup, place_features, places
 from placewise.plans.candidate_queries import to_degrees
 from placewise.plans.metric_queries import canonical_visits, rounded
 from placewise.plans.registry import query
+from placewise.plans.text_queries import NORMAL_SQL
+from placewise.session import settled
 
 _OK = "outcome IN ('met_borrower', 'met_family', 'cash_collected')"
 
@@ -23,14 +25,41 @@ def l5(t):
     return places.account_places(_clustered(t))
 
 
+def _features(t):
+    visits = to_degrees(t.visits, "checkin_x", "checkin_y")
+    return place_features.account_features(t.accounts, visits.select("account_id", "visit_id", "checkin_ts", "outcome", "latitude", "longitude"), "latitude", "longitude")
+
+
+@query(
+    "l1_account_features",
+    f"""WITH f AS (SELECT account_id, arg_min(struct_pack(a := 12.97 + checkin_y / 111000, b := 77.59 + checkin_x / 108168), struct_pack(t := checkin_ts, v := visit_id)) FILTER ({_OK}) AS p, count(*) AS visits FROM v_visits GROUP BY 1)
+SELECT a.account_id, round(coalesce(a.latitude, f.p.a), 9) AS latitude, round(CASE WHEN a.latitude IS NULL THEN f.p.b ELSE a.longitude END, 9) AS longitude, n.normalized AS normalized_address,
+ regexp_extract(n.normalized, '\\b(\\d{{6}})\\b', 1) AS pincode, coalesce(f.visits, 0) AS visits
+FROM v_accounts a JOIN ({NORMAL_SQL}) n ON n.address_id = a.account_id LEFT JOIN f ON f.account_id = a.account_id""",
+)
+def l1(t):
+    rows = _features(t)
+    return rows.select("account_id", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "normalized_address", "pincode", "visits")
+
+
+@query("l1_account_entities")
+def l1_entities(t):
+    return _features(t).select("account_id", "landmark", "locality", "building", "street", "cross")
+
+
+@query("l2_pair_similarity")
+def l2(t):
+    """Each account against the one with the next id."""
+    pairs = t.accounts.select("account_id", (F.col("account_id") + 1).alias("other_id"))
+    return rounded(place_features.pair_similarity(pairs, settled(_features(t))), 6)
+
+
 @query("l6_place_summary")
 def l6(t):
-    visits = t.visits.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("visits"), F.avg("checkin_x").alias("x"), F.avg("checkin_y").alias("y")
-    )
-    facts = t.addresses.select("account_id", F.col("address_text").alias("address"), F.lit(None).cast("string").alias("landmark"))
-    members = places.account_places(_clustered(t)).join(visits, "account_id").join(facts, "account_id")
-    return rounded(places.place_summary(members))
+    facts = _features(t).withColumnsRenamed({"latitude": "y", "longitude": "x", "normalized_address": "address"})
+    members = places.account_places(_clustered(t)).join(facts.select("account_id", "x", "y", "landmark", "address", "visits"), "account_id")
+    out = places.place_summary(members)
+    return out.withColumns({"x": F.round("x", 9), "y": F.round("y", 9), "confidence": F.round("confidence", 4)})
 
 
 @query(

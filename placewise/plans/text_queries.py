@@ -21,14 +21,14 @@ def _normal_sql(column: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-_NORMAL = f"SELECT address_id, address_text AS raw, {_normal_sql('address_text')} AS normalized FROM v_addresses"
+NORMAL_SQL = f"SELECT address_id, address_text AS raw, {_normal_sql('address_text')} AS normalized FROM v_addresses"
 _COUNT = "length(regexp_replace({c}, '[^a-zA-Z0-9]', '', 'g'))"
 
 
 @query(
     "e1_e8_normalised_addresses",
     f"""SELECT address_id, normalized AS normalized_address, 'en' AS language, regexp_extract(normalized, '\\b(\\d{{6}})\\b', 1) AS pincode,
- round(least(1.0, least(1.0, {_COUNT.format(c='normalized')} / {_COUNT.format(c='raw')}) + CASE WHEN length(normalized) > length(raw) * 0.8 THEN 0.1 ELSE 0.0 END), 6) AS norm_confidence FROM ({_NORMAL})""",
+ round(least(1.0, least(1.0, {_COUNT.format(c='normalized')} / {_COUNT.format(c='raw')}) + CASE WHEN length(normalized) > length(raw) * 0.8 THEN 0.1 ELSE 0.0 END), 6) AS norm_confidence FROM ({NORMAL_SQL})""",
 )
 def e8(t):
     out = text.normalize_addresses(t.addresses, "address_text")
@@ -86,7 +86,7 @@ _ENTITY_LISTS = (
 
 @query(
     "e11_e16_address_entities",
-    f"SELECT address_id, list_aggregate(flatten([{', '.join(_ENTITY_LISTS)}]), 'string_agg', '|') AS entities FROM (SELECT address_id, normalized AS n FROM ({_NORMAL}))",
+    f"SELECT address_id, list_aggregate(flatten([{', '.join(_ENTITY_LISTS)}]), 'string_agg', '|') AS entities FROM (SELECT address_id, normalized AS n FROM ({NORMAL_SQL}))",
 )
 def e11(t):
     out = entities.extract_entities(t.addresses, "address_text")

@@ -1,11 +1,13 @@
 """Exact expectations for clean-up, entities, parsing and fuzzy scores."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from placewise.functions import entities, fuzzy, gazetteer, narrative, text
+from placewise.operators import place_features
 
 LOCALITIES = [("L1", "T1", "Kuvempu Layout"), ("L2", "T1", "Nehru Colony"), ("L3", "T1", "Green Park Layout")]
 
@@ -145,3 +147,25 @@ def test_remark_correction(spark):
     df = spark.createDataFrame([("The actual place is behind the lane, ok",), ("nothing here",), (None,)], "r string")
     got = [r[0] for r in df.select(text.remark_correction("r")).collect()]
     assert got[0].startswith("actual place is behind") and got[1] is None and got[2] is None
+
+
+def test_pair_similarity_by_hand(spark):
+    schema = "account_id long, latitude double, longitude double, normalized_address string, landmark string, locality string, pincode string, building string, street string, cross string"
+    features = spark.createDataFrame(
+        [
+            (1, 12.0, 77.0, "flat 2 near lake", "near lake", "Abc Nagar", "560001", "Rose", None, "3rd cross"),
+            (2, 12.0, 77.0, "near lake flat 2", "near  lake", "Abd Nagar", "560002", "rose", "x road", "4th cross"),
+            (3, None, None, None, None, None, None, None, None, None),
+            (4, 12.001, 77.0, None, "school", None, "560001", None, None, None),
+        ],
+        schema,
+    )
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "account_id long, other_id long")
+    got = {(r.account_id, r.other_id): r.similarity for r in place_features.pair_similarity(pairs, features).collect()}
+    weights = place_features.WEIGHTS
+    parts = {"spatial": 1.0, "landmark": 1.0, "text": 1.0, "building": 1.0, "locality": 16 / 18, "pincode": 0.0, "cross": 0.0}
+    assert got[(1, 2)] == pytest.approx(sum(weights[k] * v for k, v in parts.items()) / sum(weights[k] for k in parts))
+    assert got[(1, 3)] == 0.0
+    away = 6371000 * math.radians(0.001)
+    parts = {"spatial": math.exp(-away / 200), "landmark": 0.0, "pincode": 1.0}
+    assert got[(1, 4)] == pytest.approx(sum(weights[k] * v for k, v in parts.items()) / sum(weights[k] for k in parts))
