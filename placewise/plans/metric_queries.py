@@ -237,6 +237,16 @@ def m16(t):
     return metrics.value_counts(t.visits, "outcome")
 
 
+@query("m16_address_types", "SELECT address_type, count(*) AS count FROM v_address_book GROUP BY 1")
+def m16_types(t):
+    return metrics.value_counts(t.address_book, "address_type")
+
+
+@query("m16_address_sources", "SELECT source, count(*) AS count FROM v_address_book GROUP BY 1")
+def m16_sources(t):
+    return metrics.value_counts(t.address_book, "source")
+
+
 @query("m16_top_agents", "SELECT agent_id, count(*) AS count FROM v_visits GROUP BY 1 ORDER BY count(*) DESC, agent_id LIMIT 10")
 def m16_top(t):
     return metrics.value_counts(t.visits, "agent_id").orderBy(F.col("count").desc(), "agent_id").limit(10)

@@ -62,21 +62,34 @@ def l6(t):
     return out.withColumns({"x": F.round("x", 9), "y": F.round("y", 9), "confidence": F.round("confidence", 4)})
 
 
-@query(
-    "l7_incremental_clusters",
-    f"""
-WITH RECURSIVE v AS (SELECT visit_id, account_id, checkin_ts, 12.97 + checkin_y / 111000 AS lat, 77.59 + checkin_x / 108168 AS lon FROM v_visits WHERE {_OK}),
-f AS (SELECT v.*, (SELECT min(c.cluster_id) FROM v_clusters c WHERE c.latitude BETWEEN v.lat - 100 / 111000 AND v.lat + 100 / 111000 AND c.longitude BETWEEN v.lon - 100 / 111000 AND v.lon + 100 / 111000) AS old FROM v),
+def growth_sql(visits: str, standing: str, members: str, half: str) -> str:
+    """Clusters after ``visits`` (visit_id, account_id, checkin_ts, lat, lon) came one by one in time order."""
+    near = "{c}.{a} BETWEEN {v}.lat - {h} AND {v}.lat + {h} AND {c}.{b} BETWEEN {v}.lon - {h} AND {v}.lon + {h}"
+    box = lambda c, v, a="latitude", b="longitude": near.format(c=c, v=v, a=a, b=b, h=half)
+    return f"""
+WITH RECURSIVE v AS ({visits}), c AS ({standing}),
+f AS (SELECT v.*, (SELECT min(c.cluster_id) FROM c WHERE {box("c", "v")}) AS old FROM v),
 u AS (SELECT *, row_number() OVER (ORDER BY checkin_ts, visit_id) AS k FROM f WHERE old IS NULL),
 s(k, founded) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, lat DOUBLE, lon DOUBLE)[])
- UNION ALL SELECT u.k, CASE WHEN len(list_filter(s.founded, lambda x: x.lat BETWEEN u.lat - 100 / 111000 AND u.lat + 100 / 111000 AND x.lon BETWEEN u.lon - 100 / 111000 AND u.lon + 100 / 111000)) > 0
-  THEN s.founded ELSE list_append(s.founded, {{'id': u.visit_id, 'lat': u.lat, 'lon': u.lon}}) END FROM s JOIN u ON u.k = s.k + 1),
+ UNION ALL SELECT u.k, CASE WHEN len(list_filter(s.founded, lambda x: {box("x", "u", "lat", "lon")})) > 0 THEN s.founded
+  ELSE list_append(s.founded, {{'id': u.visit_id, 'lat': u.lat, 'lon': u.lon}}) END FROM s JOIN u ON u.k = s.k + 1),
 n AS (SELECT concat('N', z.id) AS cluster_id, z.lat AS latitude, z.lon AS longitude, w.checkin_ts, w.visit_id FROM (SELECT unnest(founded) AS z FROM (SELECT founded FROM s ORDER BY k DESC LIMIT 1)) JOIN v w ON w.visit_id = z.id),
-p AS (SELECT f.account_id, least(f.old, (SELECT min(n.cluster_id) FROM n WHERE n.latitude BETWEEN f.lat - 100 / 111000 AND f.lat + 100 / 111000 AND n.longitude BETWEEN f.lon - 100 / 111000 AND f.lon + 100 / 111000
+p AS (SELECT f.account_id, least(f.old, (SELECT min(n.cluster_id) FROM n WHERE {box("n", "f")}
   AND (n.checkin_ts < f.checkin_ts OR (n.checkin_ts = f.checkin_ts AND n.visit_id <= f.visit_id)))) AS cluster_id FROM f),
-m AS (SELECT place_cluster_id AS cluster_id, account_id FROM v_accounts WHERE place_cluster_id IS NOT NULL UNION SELECT cluster_id, account_id FROM p)
-SELECT m.cluster_id, count(*) AS visit_count, round(least(1.0, 0.5 + count(*) * 0.1), 4)::DOUBLE AS confidence FROM m WHERE m.cluster_id IN (SELECT cluster_id FROM v_clusters UNION SELECT cluster_id FROM n) GROUP BY 1""",
+e AS (SELECT cluster_id, latitude, longitude FROM c UNION ALL SELECT cluster_id, latitude, longitude FROM n),
+m AS ({members} UNION SELECT cluster_id, account_id FROM p)
+SELECT e.cluster_id, e.latitude, e.longitude, q.visit_count, round(least(1.0, 0.5 + q.visit_count * 0.1), 4)::DOUBLE AS confidence
+FROM e JOIN (SELECT cluster_id, count(*) AS visit_count FROM m GROUP BY 1) q ON q.cluster_id = e.cluster_id"""
+
+
+_L7 = growth_sql(
+    f"SELECT visit_id, account_id, checkin_ts, 12.97 + checkin_y / 111000 AS lat, 77.59 + checkin_x / 108168 AS lon FROM v_visits WHERE {_OK}",
+    "SELECT cluster_id, latitude, longitude FROM v_clusters",
+    "SELECT place_cluster_id AS cluster_id, account_id FROM v_accounts WHERE place_cluster_id IS NOT NULL", "100 / 111000",
 )
+
+
+@query("l7_incremental_clusters", f"SELECT cluster_id, visit_count, confidence FROM ({_L7})")
 def l7(t):
     visits = to_degrees(t.visits.filter(lookup.is_success()), "checkin_x", "checkin_y")
     members = t.accounts.filter(F.col("place_cluster_id").isNotNull()).select(F.col("place_cluster_id").alias("cluster_id"), "account_id")

@@ -3,8 +3,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from placewise.operators import lookup
-from placewise.plans.metric_queries import _PROD
 from placewise.plans.compliance_queries import _COUNTS
+from placewise.plans.metric_queries import _PROD
+from placewise.plans.place_queries import growth_sql
 from placewise.plans.registry import query
 from placewise.session import ensure_checkpoint_dir
 from placewise.sources.views import Tables
@@ -51,22 +52,33 @@ def p4(t):
     return arrivals.queue_statistics(arrivals.route_failures(queue))
 
 
-@query("p5_p6_arrival_refresh")
+@query(
+    "p5_p6_arrival_refresh",
+    """SELECT account_id, checkin_x AS x, checkin_y AS y, 0.9::DOUBLE AS confidence, 'visit_confirmed' AS location_source
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY checkin_ts DESC, visit_id DESC) AS rn FROM v_visits WHERE outcome IN ('met_borrower', 'met_family', 'cash_collected')) WHERE rn = 1""",
+)
 def p5(t):
     """Score each arriving visit and keep the merged location of the touched accounts."""
     s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
-    handler = arrivals.ArrivalRefresh(t.spark, folder)
+    handler = arrivals.ArrivalRefresh(t.spark, folder, t.gps_points)
     arrivals.run_batches(_canonical(s.visits), handler, f"{folder}/state")
     return handler.latest_locations().select("account_id", "x", "y", "confidence", "location_source")
 
 
-@query("p7_incremental_clusters")
+_P7 = growth_sql(
+    "SELECT visit_id, account_id, checkin_ts, checkin_x AS lat, checkin_y AS lon FROM v_visits WHERE outcome IN ('met_borrower', 'met_family', 'cash_collected')",
+    "SELECT NULL::VARCHAR AS cluster_id, 0.0::DOUBLE AS latitude, 0.0::DOUBLE AS longitude WHERE false",
+    "SELECT NULL::VARCHAR AS cluster_id, 0::BIGINT AS account_id WHERE false", "100",
+)
+
+
+@query("p7_incremental_clusters", _P7)
 def p7(t):
     """Place clusters grown from the arriving successful visits."""
     s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
     handler = arrivals.ArrivalRefresh(t.spark, folder)
     arrivals.run_batches(_canonical(s.visits), handler, f"{folder}/state")
-    return handler.clusters()
+    return handler.clusters().withColumn("confidence", F.round("confidence", 4))
 
 
 @query("p8_streaming_productivity", f"SELECT * FROM ({_PROD}) WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(checkin_ts) - INTERVAL 1 DAY FROM v_visits)")

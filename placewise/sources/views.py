@@ -42,6 +42,11 @@ SELECT address_id, account_id, town_id,
               CASE address_id % 6 WHEN 0 THEN 'opp Ganesh mandir, ' WHEN 1 THEN 'bhd govt school, ' WHEN 2 THEN 'near masjid, '
                    WHEN 3 THEN 'ration shop ke paas, ' WHEN 4 THEN 'Post Office Rd. ; ' ELSE '' END,
               locality_name, ' - ', pincode) AS address_text
+FROM v_truth""",
+    # What the address book says of each address besides its text.
+    "v_address_book": """
+SELECT address_id, CASE address_id % 4 WHEN 0 THEN 'home' WHEN 1 THEN 'office' WHEN 2 THEN 'permanent' ELSE 'reference' END AS address_type,
+       CASE address_id % 3 WHEN 0 THEN 'application' WHEN 1 THEN 'bureau' ELSE 'skip_trace' END AS source
 FROM v_truth""",
     "v_surveyed": """
 SELECT address_id, surveyed_x, surveyed_y FROM v_truth WHERE address_id % 3 = 0""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placewise import config
 from placewise.functions.text import remark_correction
-from placewise.operators import compliance, integrity, lookup, places, reliability
+from placewise.operators import compliance, integrity, lookup, places, reliability, trajectories
 
 MAX_RETRIES = 5
 
@@ -80,11 +80,20 @@ class ArrivalRefresh:
 
     History and results are Parquet folders with one ``batch=<id>`` partition per
     micro-batch. A replayed batch overwrites its own partition and reads only
-    earlier ones, so a restart repeats a batch without counting it twice.
+    earlier ones, so a restart repeats a batch without counting it twice. ``points``
+    (visit_id, seq, x, y, offset_s) are the GPS tracks that have arrived; without them a
+    visit's track counts as missing.
     """
 
     spark: SparkSession
     root: str
+    points: DataFrame | None = None
+
+    def _tracks(self, visits: DataFrame) -> DataFrame:
+        if self.points is None:
+            return self.spark.createDataFrame([], TRACKS)
+        own = self.points.join(visits.select("visit_id").distinct(), "visit_id", "left_semi")
+        return trajectories.summarise(own, "projected_xy")
 
     def _earlier(self, name: str, batch_id: int) -> DataFrame | None:
         path = f"{self.root}/{name}"
@@ -105,10 +114,9 @@ class ArrivalRefresh:
             seen = batch if earlier is None else earlier.select(*batch.columns).unionByName(batch)
             of_accounts = seen.join(batch.select("account_id").distinct(), "account_id", "left_semi")
             of_agents = seen.join(batch.select("agent_id").distinct(), "agent_id", "left_semi")
-            no_tracks = self.spark.createDataFrame([], TRACKS)
             history = lookup.newest_visits(of_accounts, "account_id")
-            trust = reliability.score(batch, no_tracks, history, "projected_xy").select("visit_id", "reliability")
-            honest = integrity.detect(of_agents, no_tracks).select("visit_id", F.col("integrity").alias("integrity_score"), "risk_level")
+            trust = reliability.score(batch, self._tracks(batch), history, "projected_xy").select("visit_id", "reliability")
+            honest = integrity.detect(of_agents, self._tracks(of_agents)).select("visit_id", F.col("integrity").alias("integrity_score"), "risk_level")
             scored = batch.join(trust, "visit_id").join(honest, "visit_id")
             self._write(scored, "scores", batch_id)
             hits = of_accounts.filter(F.col("outcome").isin(*config.CANONICAL_SUCCESS)).select(
