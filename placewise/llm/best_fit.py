@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewise.llm import word_ids
-from placewise.llm.shared import byte_texts, settled
+from placewise.llm.shared import byte_texts, settled, slices
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokens: int = 4096, path: str | None = None) -> Data
     source = path or word_ids.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), word_ids.encode_texts(byte_texts(batch), source)):
                 for k, a in enumerate(range(0, len(ids) // 4, tokens)):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.shared import ChunkTable, byte_texts, crc_of, in_groups
+from placewise.llm.shared import ChunkTable, byte_texts, crc_of, in_groups, slices
 
 ORDER = 5
 UNKNOWN = "und"
@@ -56,6 +56,7 @@ class Model:
     temperature: float = 1.0
     centre: np.ndarray | None = None
     spread: np.ndarray | None = None
+    scorer: Scorer | None = None
 
 
 def words_of(chunk: bytes) -> list[str]:
@@ -146,7 +147,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.table = ChunkTable(self._encode, limit=400_000, reset=self._reset)
+        self.table = ChunkTable(self._encode, limit=200_000, reset=self._reset)
         self._reset()
 
     def _reset(self) -> None:
@@ -158,7 +159,7 @@ class Scorer:
         out = np.zeros((len(chunks), self.sums.shape[1]))
         owner = np.repeat(np.arange(len(chunks)), [len(r) for r in rows])
         words = [w for r in rows for w in r]
-        step = 1 << 16
+        step = 1 << 13
         for a in range(0, len(words), step):
             windows, word = windows_of(words[a : a + step])
             logs = log_probabilities(self.model, windows)
@@ -184,6 +185,13 @@ class Scorer:
         return h, n
 
 
+def scorer_of(model: Model) -> Scorer:
+    """One scorer for a model in each worker, kept from task to task."""
+    if model.scorer is None:
+        model.scorer = Scorer(model)
+    return model.scorer
+
+
 def judge(model: Model, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the language, its probability, whether it is accepted) of each text."""
     best = h.argmin(axis=1)
@@ -217,7 +225,7 @@ def train(docs: DataFrame, per_language: int = 768, most_grams: int = 200_000) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in slices(batches):
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch)):
                 words.setdefault(lang, Counter()).update(words_of(text))
@@ -240,8 +248,8 @@ def train(docs: DataFrame, per_language: int = 768, most_grams: int = 200_000) -
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
-        for batch in batches:
+        scorer = scorer_of(held.value)
+        for batch in slices(batches):
             h, n = scorer.entropies(byte_texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(n)], ["lang", "h", "n"])
 
@@ -281,8 +289,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value) if held.value else None
-        for batch in batches:
+        scorer = scorer_of(held.value) if held.value else None
+        for batch in slices(batches):
             lang, p, ok = _judged(scorer, byte_texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lang, p, ok], ["doc_id", "lang_pred", "score", "accepted"])
 
@@ -294,8 +302,8 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value) if held.value else None
-        for batch in batches:
+        scorer = scorer_of(held.value) if held.value else None
+        for batch in slices(batches):
             yield batch.filter(_judged(scorer, byte_texts(batch))[2])
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.shared import ChunkTable, byte_texts, crc_of, in_groups
+from placewise.llm.shared import ChunkTable, byte_texts, crc_of, in_groups, slices
 
 WORDS, SHAPES, SIGNS = 4096, 1024, 24
 WIDTH = WORDS + SHAPES + SIGNS
@@ -49,7 +50,7 @@ class Terms:
     """Weighted terms of whole texts, before rarity; chunks are analysed once each."""
 
     def __init__(self):
-        self.table = ChunkTable(lambda chunks: [w << 16 | s for w, s in map(_terms, chunks)], limit=400_000)
+        self.table = ChunkTable(lambda chunks: [w << 16 | s for w, s in map(_terms, chunks)], limit=200_000)
 
     def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -58,6 +59,11 @@ class Terms:
         return out
 
 
+@lru_cache(maxsize=1)
+def _analyser() -> Terms:
+    return Terms()
+
+
 def _weighted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(pairs)
     words, shapes = pairs >> 16, pairs & 0xFFFF
@@ -143,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3072) -> Model
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for batch in batches:
+        terms = _analyser()
+        for batch in slices(batches):
             found = terms(byte_texts(batch))
             columns = [batch.column("doc_id"), batch.column("quality"), pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "terms", "weights"])
@@ -156,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3072) -> Model
 
 class Voter:
     def __init__(self, model: Model | None):
-        self.model, self.terms = model, Terms()
+        self.model, self.terms = model, _analyser()
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         if self.model is None:
@@ -171,7 +177,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voter = Voter(held.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = voter(byte_texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array((found >= THRESHOLD).astype("int32"))], ["doc_id", "score", "predicted"])
 
@@ -184,7 +190,7 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voter = Voter(held.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(voter(byte_texts(batch)) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

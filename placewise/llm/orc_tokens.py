@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placewise.llm import word_ids
-from placewise.llm.shared import byte_texts
+from placewise.llm.shared import byte_texts, slices
 
 _SCHEMA = "doc_id long, n_tokens int, ids array<int>"
 
@@ -30,7 +30,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids of each row, in the order of the rows."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id")
             texts = byte_texts(batch)
             rows, held, first = [], 0, 0
@@ -85,7 +85,7 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("ids")
             flat, ends = memoryview(ids.values.cast(pa.int32()).buffers()[1] or b""), ids.offsets.to_pylist()
             shift = ids.values.offset

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.shared import ChunkTable, byte_texts, in_groups
+from placewise.llm.shared import ChunkTable, byte_texts, in_groups, slices
 
 _MARK = "▁".encode()
 _CHUNK = re.compile(b"(?:" + _MARK + b")+(?:(?!" + _MARK + b").)*", re.DOTALL)
@@ -90,7 +90,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     model = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, of_ids, of_text = [], [], []
             for ids in encode_texts(byte_texts(batch), model):
                 counts.append(len(ids) // 4)
@@ -106,7 +106,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     model = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [np.frombuffer(ids, "<u4").astype("int32") for ids in encode_texts(byte_texts(batch), model)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -118,7 +118,7 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     model = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [_model(model)[0].decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 

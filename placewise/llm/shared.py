@@ -52,6 +52,13 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in short runs of rows, so that few texts are held in two forms at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def in_groups(sizes: Sequence[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``limit`` bytes together; a larger row stands alone."""
     start = held = 0
@@ -72,7 +79,7 @@ class ChunkTable:
     changes results.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence], limit: int = 600_000, longest: int = 256, reset: Callable[[], None] | None = None):
+    def __init__(self, encode: Callable[[list[bytes]], Sequence], limit: int = 300_000, longest: int = 256, reset: Callable[[], None] | None = None):
         self.encode, self.limit, self.longest, self.reset = encode, limit, longest, reset
         self.known: dict[bytes, object] = {}
         self.made = 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.shared import Forest, byte_texts, components, settled
+from placewise.llm.shared import Forest, byte_texts, components, settled, slices
 
 BITS = 64
 TOP_BITS = 16
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in byte_texts(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.shared import ChunkTable, byte_texts, in_groups
+from placewise.llm.shared import ChunkTable, byte_texts, in_groups, slices
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -115,7 +115,7 @@ def parts_of(text: bytes) -> list[bytes]:
 @lru_cache(maxsize=2)
 def _table(path: str) -> ChunkTable:
     counter = Counter(vocabulary(path))
-    return ChunkTable(lambda parts: [counter.best(MARK + p.decode("utf-8", "replace"))[1] for p in parts], limit=1_000_000)
+    return ChunkTable(lambda parts: [counter.best(MARK + p.decode("utf-8", "replace"))[1] for p in parts], limit=500_000)
 
 
 def count_texts(texts: list[bytes], path: str) -> Iterator[int]:
@@ -129,7 +129,7 @@ def counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     source = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = pa.array(list(count_texts(byte_texts(batch), source)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "n_tokens"])
 
