@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,13 +147,13 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.table = ChunkTable(self._encode, limit=200_000, reset=self._reset)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.sums = np.zeros((1024, len(self.model.languages) + 1))
+        self.table = ChunkTable(self._encode, limit=200_000, trimmed=self._trimmed)
+        self.sums = np.zeros((1024, len(model.languages) + 1))
         self.used = 0
 
+    def _trimmed(self, stay: Iterable[int]) -> None:
+        self.used = max(stay, default=-1) + 1
+
     def _encode(self, chunks: list[bytes]) -> list[int]:
         rows = [words_of(c) for c in chunks]
         out = np.zeros((len(chunks), self.sums.shape[1]))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -74,25 +75,26 @@ def in_groups(sizes: Sequence[int], limit: int = 4 << 20) -> Iterator[tuple[int,
 class ChunkTable:
     """Distinct chunks of text and what ``encode`` makes of them, filled as chunks come up.
 
-    After ``limit`` encoded chunks the table starts anew (``reset`` is told), and chunks
-    over ``longest`` bytes are not kept, so that its memory is bounded; neither
-    changes results.
+    After ``limit`` encoded chunks only the older half stays (frequent chunks come up
+    early; ``trimmed`` is told what stays), and chunks over ``longest`` bytes are not
+    kept, so that memory is bounded; neither changes results.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence], limit: int = 300_000, longest: int = 256, reset: Callable[[], None] | None = None):
-        self.encode, self.limit, self.longest, self.reset = encode, limit, longest, reset
-        self.known: dict[bytes, object] = {}
+    def __init__(self, encode: Callable[[list], Sequence], limit: int = 300_000, longest: int = 256, trimmed: Callable[[Iterable], None] | None = None):
+        self.encode, self.limit, self.longest, self.trimmed = encode, limit, longest, trimmed
+        self.known: dict[bytes | str, object] = {}
         self.made = 0
 
-    def look_up(self, rows: list[list[bytes]], collect: Callable = list) -> list:
+    def look_up(self, rows: list[list], collect: Callable = list) -> list:
         """The encoded form of each chunk of each row, in place."""
         if self.made > self.limit:
-            self.known, self.made = {}, 0
-            if self.reset:
-                self.reset()
+            self.known = dict(islice(self.known.items(), self.limit // 2))
+            self.made = len(self.known)
+            if self.trimmed:
+                self.trimmed(self.known.values())
         missing = list(set().union(*rows).difference(self.known))
         self.made += len(missing)
-        large: dict[bytes, object] = {}
+        large: dict[bytes | str, object] = {}
         for chunk, value in zip(missing, self.encode(missing) if missing else []):
             (self.known if len(chunk) <= self.longest else large)[chunk] = value
         get = self.known.__getitem__ if not large else lambda chunk: large[chunk] if chunk in large else self.known[chunk]
