@@ -32,6 +32,7 @@ from placewise.llm.shared import Forest, components, settled
 from placewise.llm.vectors import main_dimension, matrix, usable
 
 RADII = (0.5, 0.25, 0.125)
+MOST_BLOCKS = 1024  # bounds the list of block pairs on the driver; beyond it blocks grow
 _SLACK = 1e-9
 
 
@@ -197,7 +198,7 @@ def walk(a: Subtree, b: Subtree | None, cosine: float, chunk: int = 1 << 15) ->
 def _blocked(members: DataFrame, width: int, total: int, block_rows: int, blocks: int):
     """Members with their block; the centres of cells; the cell and the radius of each block."""
     spark = members.sparkSession
-    most = max(256, min(block_rows, total // blocks))
+    most = max(256, -(-total // min(max(blocks, total // block_rows), MOST_BLOCKS)))
     taken = members.orderBy(F.xxhash64("id"), "id").limit(1024).select("v").collect()
     top = centres(unit(np.array([r.v for r in taken])), max(4, min(256, total // block_rows)))
     held = spark.sparkContext.broadcast(top)
