@@ -220,12 +220,17 @@ def classes(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
 
 
 def first_of_class(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
+    """Rows of ``docs`` that stand for their class of fingerprints."""
+    return standing(docs, classes(docs, shingle, budget))
+
+
+def standing(docs: DataFrame, classed: DataFrame) -> DataFrame:
     """Rows of ``docs`` that stand for their class (one row of the smallest doc_id), with all their columns.
 
-    Only ids and fingerprints are shuffled by class; a text moves once, to meet the ids
+    ``classed``: doc_id, component_id of each row. Only ids and fingerprints are shuffled by class; a text moves once, to meet the ids
     that stay. Of rows that share the smallest doc_id the first by its content stays.
     """
-    staying = settled(classes(docs, shingle, budget).filter("doc_id = component_id").select("doc_id").distinct())
+    staying = settled(classed.filter("doc_id = component_id").select("doc_id").distinct())
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     kept = docs.join(staying, "doc_id", "left_semi")
     alone = kept.join(repeated, "doc_id", "left_anti")
