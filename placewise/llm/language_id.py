@@ -10,7 +10,8 @@ A whole text is judged: the language with the lowest cross-entropy per character
 equal ones go to the first language in order. The probability is a softmax whose
 temperature is fitted on held-back rows of the sample. A text is rejected when it
 has no letter, or when its cross-entropy is above what held-back texts of that
-language and its length reach.
+language and its length reach. A language with few held-back rows is cross-validated
+over all its sampled rows; if these are few too, a limit pooled over all languages holds.
 
 Null, empty and letterless texts are ``und`` with score 0 and rejected; so is every text
 when nothing could be learned. Equal rows get equal results; other columns are kept by
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ UNKNOWN = "und"
 _PAD = " " * (ORDER - 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+# Rows from which a language has limits of its own, the folds for those with fewer held-back rows, and the margin.
+LEAST_ROWS, FOLDS, MARGIN = 8, 8, 0.9
 
 
 @dataclass
@@ -197,7 +201,7 @@ def judge(model: Model, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nd
     best = h.argmin(axis=1)
     scaled = -(h - h.min(axis=1, keepdims=True)) / model.temperature
     p = 1 / np.exp(scaled).sum(axis=1)
-    limit = model.centre[best] + 0.9 + 6 * model.spread[best] / np.sqrt(np.maximum(n, 1))
+    limit = model.centre[best] + MARGIN + 6 * model.spread[best] / np.sqrt(np.maximum(n, 1))
     lowest = h[np.arange(len(h)), best]
     return best, p, (n > 0) & (lowest <= limit)
 
@@ -219,7 +223,7 @@ def train(docs: DataFrame, per_language: int = 768, most_grams: int = 200_000) -
     """The calibrated model of ``docs`` (doc_id, text, lang); None when no labelled row has a letter.
 
     The driver holds at most ``most_grams`` n-grams, the most frequent ones, and
-    three numbers for each held-back row.
+    three numbers for each held-back row and each row of a language with few of them.
     """
     rows = sample(docs.select("doc_id", "text", "lang"), per_language).repartition(16)
 
@@ -231,10 +235,7 @@ def train(docs: DataFrame, per_language: int = 768, most_grams: int = 200_000) -
                 words.setdefault(lang, Counter()).update(words_of(text))
             for lang, counts in words.items():
                 own = found.setdefault(lang, Counter())
-                for word, k in counts.items():
-                    padded = _PAD + word + " "
-                    for i in range(len(word) + 1):
-                        own[padded[i : i + ORDER]] += k
+                _add_grams(own, counts)
             if sum(map(len, found.values())) > 500_000:
                 yield _count_batch(found)
                 found = {}
@@ -254,7 +255,40 @@ def train(docs: DataFrame, per_language: int = 768, most_grams: int = 200_000) -
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(n)], ["lang", "h", "n"])
 
     known = rows.filter(F.col("held_back") & F.col("lang").isin(model.languages)).select("lang", "text")
-    return calibrated(model, [(r.lang, r.h, r.n) for r in known.mapInArrow(measure, "lang string, h array<double>, n double").collect()])
+    measured = [(r.lang, r.h, r.n) for r in known.mapInArrow(measure, "lang string, h array<double>, n double").collect()]
+    enough = Counter(lang for lang, _, n in measured if n > 0)
+    rare = [x for x in model.languages if enough[x] < LEAST_ROWS]
+    crossed: dict[str, list[tuple[float, float]]] = {}
+    if rare:
+        own = rows.filter(F.col("lang").isin(rare)).select("lang", "text")
+        for r in own.groupBy("lang").applyInPandas(lambda group: _crossed(group, model.floor), "lang string, h double, n double").collect():
+            crossed.setdefault(r.lang, []).append((r.h, r.n))
+    return calibrated(model, measured, crossed)
+
+
+def _add_grams(own: Counter, words: Counter) -> None:
+    for word, k in words.items():
+        padded = _PAD + word + " "
+        for i in range(len(word) + 1):
+            own[padded[i : i + ORDER]] += k
+
+
+def _crossed(group: pd.DataFrame, floor: float) -> pd.DataFrame:
+    """lang, cross-entropy, characters of each row of one language, by a model of the rows outside its fold."""
+    lang = group["lang"].iloc[0]
+    texts = sorted(t.encode("utf-8", "replace") for t in group["text"])
+    found = []
+    for fold in range(min(FOLDS, len(texts))):
+        own: Counter = Counter()
+        for i, text in enumerate(texts):
+            if i % FOLDS != fold:
+                _add_grams(own, Counter(words_of(text)))
+        if own:
+            model = fit_counts([(lang, gram, n) for gram, n in own.items()])
+            model.floor = floor
+            h, n = Scorer(model).entropies(texts[fold::FOLDS])
+            found += [(lang, a, b) for a, b in zip(h[:, 0], n) if b > 0]
+    return pd.DataFrame(found, columns=["lang", "h", "n"])
 
 
 def _count_batch(found: dict[str, Counter]) -> pa.RecordBatch:
@@ -263,20 +297,33 @@ def _count_batch(found: dict[str, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
 
-def calibrated(model: Model, rows: list[tuple[str, list[float], float]]) -> Model:
-    """Temperature and limits from held-back (language, cross-entropies, characters); wide ones where rows are few."""
+def calibrated(model: Model, rows: list[tuple[str, list[float], float]], crossed: dict[str, list[tuple[float, float]]] | None = None) -> Model:
+    """Temperature and limits from held-back (language, cross-entropies, characters).
+
+    ``crossed``: cross-validated (cross-entropy, characters) of languages with few rows. A language
+    with few of these too gets the limit of all languages together, or what its own rows reach if that
+    is more, but never more than a uniform guess over the alphabet.
+    """
     rows = [r for r in rows if r[2] > 0]
     width = len(model.languages)
-    model.centre, model.spread = np.full(width, np.inf), np.zeros(width)
+    model.centre, model.spread = np.zeros(width), np.zeros(width)
+    owns = [[(r[1][k], r[2]) for r in rows if r[0] == name] for k, name in enumerate(model.languages)]
+    for k, name in enumerate(model.languages):
+        if len(owns[k]) < LEAST_ROWS:
+            owns[k] = (crossed or {}).get(name) or owns[k]
+    uniform = -np.log(model.floor) - MARGIN
+    pool = [r for own in owns for r in own]
+    pooled = _centre(pool) if len(pool) >= LEAST_ROWS else (uniform, 0.0)
+    for k, own in enumerate(owns):
+        if len(own) >= LEAST_ROWS:
+            model.centre[k], model.spread[k] = _centre(own)
+        else:
+            model.centre[k] = min(max(pooled[0], _centre(own)[0] if own else 0.0), uniform)
+            model.spread[k] = pooled[1]
     if not rows:
         return model
-    h, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    h = np.array([r[1] for r in rows])
     true = np.array([model.languages.index(r[0]) for r in rows])
-    for k in range(width):
-        own = h[true == k, k]
-        if len(own) >= 8:
-            model.centre[k] = np.median(own)
-            model.spread[k] = np.median(np.abs(own - model.centre[k]) * np.sqrt(n[true == k])) / 0.6745
     grid = np.geomspace(0.02, 2.0, 25)
     gap = h - h[np.arange(len(h)), true][:, None]
     losses = [np.log(np.exp(np.minimum(-gap / t, 700)).sum(axis=1)).mean() for t in grid]
@@ -284,6 +331,13 @@ def calibrated(model: Model, rows: list[tuple[str, list[float], float]]) -> Mode
     return model
 
 
+def _centre(own: list[tuple[float, float]]) -> tuple[float, float]:
+    """Median cross-entropy and its robust spread at one character."""
+    h, n = np.array(own).T
+    centre = float(np.median(h))
+    return centre, float(np.median(np.abs(h - centre) * np.sqrt(n)) / 0.6745)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, accepted of each row of ``docs`` (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
