@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,14 +67,15 @@ def link_counts(pages: DataFrame) -> DataFrame:
     return rows.select("src", target.alias("dst")).filter("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
+def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """host, rank from ``nodes`` (host, restart; restarts sum to one) and ``links`` (src, dst, share of src).
 
     What reaches hosts without links returns to the restart. Stops when the ranks
-    move less than ``tolerance`` in sum.
+    move less than ``tolerance`` in sum (or after ``rounds``, if given); each round shrinks the move by ``damping`` at
+    least, so about 60 rounds are the most at the defaults.
     """
     ranks = settled(nodes.select("host", "restart", F.col("restart").alias("rank")))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         sent = links.join(ranks.select(F.col("host").alias("src"), "rank"), "src")
         got = sent.groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         moved = settled(ranks.join(got, "host", "left").withColumn("got", F.coalesce("got", F.lit(0.0))))
