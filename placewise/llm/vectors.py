@@ -26,3 +26,16 @@ def matrix(column, width: int) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
     return np.stack(list(column)).astype(np.float64) if len(column) else np.zeros((0, width))
+
+
+MOST = 1 << 23  # integers beyond it count as it, so that sums of products stay within a long
+
+
+def integers(vector: Column) -> Column:
+    """floor(256 * x) of each component, x as double, in longs."""
+    return F.transform(vector.cast("array<double>"), lambda x: F.least(F.greatest(F.floor(x * 256), F.lit(-MOST)), F.lit(MOST)).cast("long"))
+
+
+def finite(vector: Column) -> Column:
+    """Not null, and without null or non-finite components; zero vectors and empty ones are finite."""
+    return F.coalesce(vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
