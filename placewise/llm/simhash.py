@@ -5,8 +5,9 @@ fingerprints are collapsed first. The distinct ones are joined with themselves b
 walking a binary trie against itself: a pair of nodes carries the bits in which it
 differs so far and is dropped when these exceed the budget.
 
-The trie's top is cut into nodes of similar size; a pair of top nodes that the budget
-allows is one task. A task returns a spanning forest of its links, never all pairs.
+Values that share a stretch of bits form a group, one of which every close pair has in common;
+large groups are split by further stretches. The trie of a group is walked against itself in
+one task, which returns a spanning forest of its links, never all pairs.
 
 Null, empty or wordless texts have fingerprint zero, which links like any other. Rows
 with a null doc_id keep a fingerprint and count in no minimum. Equal rows stay apart
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from placewise.llm.shared import Forest, byte_texts, components, settled, slices
 
 BITS = 64
-TOP_BITS = 16
 SEED = 42
 _BLOCK = 1 << 15
 
@@ -54,14 +54,14 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each row of ``docs`` (doc_id, text)."""
+    """doc_id, place (hash of the text), fp (the fingerprint as a signed long) of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in byte_texts(batch)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(found.view(np.int64))], ["doc_id", "place", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("place")).mapInArrow(run, "doc_id long, place long, fp long")
 
 
 class Trie:
@@ -148,75 +148,75 @@ def _compare(a: Trie, b: Trie, x: np.ndarray, y: np.ndarray, same: bool, budget:
         yield i, j
 
 
-def _top_nodes(prefixes: list[tuple[int, int]], target: int) -> list[tuple[int, int]]:
-    """Trie nodes (depth, prefix) that together hold every prefix, split while larger than ``target``."""
-    counts = np.zeros(1 << TOP_BITS, np.int64)
-    for prefix, n in prefixes:
-        counts[prefix] = n
-    sums = np.concatenate([[0], np.cumsum(counts)])
-    nodes, open_ = [], [(0, 0)]
-    while open_:
-        depth, prefix = open_.pop()
-        width = 1 << (TOP_BITS - depth)
-        held = sums[(prefix + 1) * width] - sums[prefix * width]
-        if held > target and depth < TOP_BITS:
-            open_ += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
-        elif held:
-            nodes.append((depth, prefix))
-    return sorted(nodes, key=lambda n: n[1] << (TOP_BITS - n[0]))
+def _shares(mask: int, budget: int, width: int) -> list[int]:
+    """``mask`` with the first ``width`` bits of each of ``budget`` + 1 stretches of the bits it leaves open."""
+    open_ = [k for k in range(BITS - 1, -1, -1) if not mask >> k & 1]
+    edges = [len(open_) * i // (budget + 1) for i in range(budget + 2)]
+    return [mask | sum(1 << k for k in open_[lo : min(hi, lo + width)]) for lo, hi in zip(edges, edges[1:])]
 
 
-def _allowed(left: tuple[int, int], right: tuple[int, int], budget: int) -> bool:
-    depth = min(left[0], right[0])
-    return ((left[1] >> (left[0] - depth)) ^ (right[1] >> (right[0] - depth))).bit_count() <= budget
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> BITS - 1 else mask
 
 
-def links(values: DataFrame, budget: int = 4, least_nodes: int = 24, most_nodes: int = 256, node_rows: int = 16_384) -> DataFrame:
+def links(values: DataFrame, budget: int = 4, node_rows: int = 8192, least_tasks: int = 24) -> DataFrame:
     """Edges (a, b) that connect the distinct ``fp`` values exactly as all pairs within ``budget`` bits do.
 
-    The driver sees counts of at most 65,536 prefixes. The number of top nodes follows
-    the number of values, from ``least_nodes`` up to about ``most_nodes``, so that a
-    value is copied a bounded number of times.
+    Of ``budget`` + 1 stretches of bits two such values have one in common: each value goes, for each
+    stretch, to the group of values that share its first bits there. Groups above four times
+    ``node_rows`` are dealt again by stretches of their other bits, so that no task grows with the
+    table and a value is copied ``budget`` + 1 times in each of a few rounds. The driver sees no value.
     """
     spark = values.sparkSession
-    prefix = F.shiftrightunsigned("fp", BITS - TOP_BITS).cast("int")
-    counts = [(r.p, r.n) for r in values.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
-    if not counts:
+    total = values.count()
+    if not total:
         return spark.createDataFrame([], "a long, b long")
-    total = sum(n for _, n in counts)
-    nodes = _top_nodes(counts, max(1, total // min(most_nodes, max(least_nodes, total // node_rows))))
-    pairs = [(i, j) for i in range(len(nodes)) for j in range(i, len(nodes)) if _allowed(nodes[i], nodes[j], budget)]
-    # Each prefix belongs to one node: a lookup of at most 65,536 rows.
-    owner = [(p, k) for k, (depth, top) in enumerate(nodes) for p in range(top << (TOP_BITS - depth), (top + 1) << (TOP_BITS - depth))]
-    owners = spark.createDataFrame(pd.DataFrame(owner, columns=["p", "node"], dtype="int32"))
-    tasks = [(i, k, side) for k, (i, j) in enumerate(pairs) for side, i in enumerate(dict.fromkeys((i, j)))]
-    dealt = spark.createDataFrame(pd.DataFrame(tasks, columns=["node", "task", "side"], dtype="int32"))
-    placed = values.withColumn("p", prefix).join(F.broadcast(owners), "p").join(F.broadcast(dealt), "node")
+    width = max(0, (total // node_rows).bit_length())
+    masks = _shares(0, budget, width)
+    part = F.col("fp").bitwiseAND(F.col("mask"))
+    groups = values.select("fp", F.explode(F.array_distinct(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))).alias("mask"))
+    dealt = None
+    while True:
+        groups = settled(groups.withColumn("part", part))
+        hot = settled(groups.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * node_rows).select("mask", "part"))
+        masks = [m for m in set(masks) if BITS - m.bit_count() > 20]
+        known = [_signed(m) for m in masks]
+        hot = hot.filter(F.col("mask").isin(known)) if known else hot.limit(0)
+        done = hot.isEmpty()
+        calm = groups if done else groups.join(hot, ["mask", "part"], "left_anti").select(groups.columns)
+        dealt = calm if dealt is None else dealt.unionByName(calm)
+        if done:
+            break
+        finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(k)).cast("long") for k in _shares(m, budget, BITS)]))])
+        split = groups.join(hot, ["mask", "part"], "left_semi")
+        groups = split.select("fp", F.explode(finer[F.col("mask")]).alias("mask")).distinct()
+        masks = [k for m in masks for k in _shares(m, budget, BITS)]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.sort(group.fp.to_numpy()[group.side.to_numpy() == s].view(np.uint64)) for s in (0, 1)]
-        same = len(sides[1]) == 0
-        a = Trie(sides[0])
-        b, shift = (a, 0) if same else (Trie(sides[1]), len(sides[0]))
-        every = sides[0] if same else np.concatenate(sides)
-        forest = Forest(len(every))
-        for i, j in trie_links(a, b, same, budget):
-            forest.add(i, j + shift)
-        member, root = forest.edges()
-        return pd.DataFrame({"a": every[member].view(np.int64), "b": every[root].view(np.int64)})
+        found = []
+        for _, own in group.groupby(["mask", "part"], sort=False):
+            every = np.sort(own["fp"].to_numpy().view(np.uint64))
+            trie, forest = Trie(every), Forest(len(every))
+            for i, j in trie_links(trie, trie, True, budget):
+                forest.add(i, j)
+            member, root = forest.edges()
+            found.append(pd.DataFrame({"a": every[member].view(np.int64), "b": every[root].view(np.int64)}))
+        return pd.concat(found)
 
-    return placed.select("task", "side", "fp").groupBy("task").applyInPandas(run, "a long, b long")
+    tasks = max(least_tasks, (budget + 1) * total // node_rows)
+    numbered = dealt.withColumn("task", F.pmod(F.xxhash64("mask", "part"), F.lit(tasks)))
+    return numbered.groupBy("task").applyInPandas(run, "a long, b long")
 
 
 def classes(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the class) of each row of ``docs`` (doc_id, text)."""
+    """doc_id, place (hash of the text), fp, root (of the class), component_id (the class's smallest doc_id) of each row of ``docs`` (doc_id, text)."""
     each = settled(fingerprints(docs, shingle))
     firsts = settled(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"), budget)).withColumnRenamed("node", "fp")
     rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_value = settled(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
-    return each.join(by_value, "fp").select("doc_id", "fp", "component_id")
+    by_value = settled(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"))
+    return each.join(by_value, "fp").select("doc_id", "place", "fp", "root", "component_id")
 
 
 def first_of_class(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
@@ -225,17 +225,23 @@ def first_of_class(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFr
 
 
 def standing(docs: DataFrame, classed: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stand for their class (one row of the smallest doc_id), with all their columns.
+    """One row of ``docs`` for each class, with all its columns: that of the smallest doc_id; of equal ones the first by the hash of its text.
 
-    ``classed``: doc_id, component_id of each row. Only ids and fingerprints are shuffled by class; a text moves once, to meet the ids
-    that stay. Of rows that share the smallest doc_id the first by its content stays.
+    ``classed``: doc_id, place (hash of the text), root of each row. Classes are told apart by root, since two of them may hold
+    one doc_id. Of rows with one doc_id and one text the smallest by all columns stays. Rows with a null doc_id stay.
     """
-    staying = settled(classed.filter("doc_id = component_id").select("doc_id").distinct())
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    kept = docs.join(staying, "doc_id", "left_semi")
-    alone = kept.join(repeated, "doc_id", "left_anti")
-    several = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(several).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    named = classed.filter("doc_id is not null")
+    first = settled(named.groupBy("root").agg(F.min(F.struct("doc_id", "place")).alias("m")).select("m.doc_id", "m.place"))
+    rows = settled(named.groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("n")))
+    leaving = rows.join(first, ["doc_id", "place"], "left_anti").select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"))
+    repeated = rows.filter("n > 1").join(first, ["doc_id", "place"], "left_semi").select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"))
+    own = [docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    keyed = docs.select(*own, docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_place"))
+    kept = keyed.join(leaving, ["_id", "_place"], "left_anti")
+    alone = kept.join(repeated, ["_id", "_place"], "left_anti")
+    cells = [f"c{k}" for k in range(len(own))]
+    several = kept.join(repeated, ["_id", "_place"], "left_semi").groupBy("_id", "_place").agg(F.min(F.struct(*cells)).alias("m"))
+    return alone.select(*cells).union(several.select("m.*")).toDF(*docs.columns)
 
 
 def digest(classed: DataFrame) -> DataFrame:
