@@ -2,16 +2,18 @@
 
 A model of order five is learned for each language from words: runs of letters, lower
 case, with a boundary mark on both sides. Counts of the top order come from a bounded
-sample of labelled rows; lower orders use continuation counts. All languages share one
+sample of labelled rows, all of their n-grams; lower orders use continuation counts. All languages share one
 sorted array of n-gram hashes for each order, with a column of discounted
 probabilities (and, for contexts, of back-off weights) for each language.
 
 A whole text is judged: the language with the lowest cross-entropy per character wins;
 equal ones go to the first language in order. The probability is a softmax whose
-temperature is fitted on held-back rows of the sample. A text is rejected when it
-has no letter, or when its cross-entropy is above what held-back texts of that
-language and its length reach. A language with few held-back rows is cross-validated
-over all its sampled rows; if these are few too, a limit pooled over all languages holds.
+temperature is fitted on sampled rows, each scored by the model of the rows outside its
+fold. A text is rejected when it has no letter, or when its cross-entropy is above what
+such rows of that language and its length reach. The limits follow one rule for all
+languages: a language's own centre and spread, drawn towards those of all languages by as
+much as its rows are few, and a margin between what own rows need and what rows of other
+languages would get.
 
 Null, empty and letterless texts are ``und`` with score 0 and rejected; so is every text
 when nothing could be learned. Equal rows get equal results; other columns are kept by
@@ -26,7 +28,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,8 @@ UNKNOWN = "und"
 _PAD = " " * (ORDER - 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-# Rows from which a language has limits of its own, the folds for those with fewer held-back rows, and the margin.
-LEAST_ROWS, FOLDS, MARGIN = 8, 8, 0.9
+# Folds of the sampled rows, and the rows as which the limits of all languages count beside a language's own.
+FOLDS, PRIOR_ROWS = 4, 8
 
 
 @dataclass
@@ -60,11 +61,16 @@ class Model:
     temperature: float = 1.0
     centre: np.ndarray | None = None
     spread: np.ndarray | None = None
+    margin: float = 0.0
     scorer: Scorer | None = None
 
 
 def words_of(chunk: bytes) -> list[str]:
-    return _LETTERS.findall(chunk.decode("utf-8", "replace").lower())
+    found = _LETTERS.findall(chunk.decode("utf-8", "replace").lower())
+    if chunk.isascii():
+        return found
+    # The pattern also takes number characters that are no decimal digits; they end a word.
+    return [part for word in found for part in ([word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split())]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -108,9 +114,9 @@ def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: f
     return np.where((keys[at] == wanted)[:, None], values[at], otherwise)
 
 
-def fit_counts(grams: list[tuple[str, str, int]]) -> Model:
-    """Kneser-Ney models from (language, ORDER characters, count)."""
-    languages = sorted({g[0] for g in grams})
+def fit_counts(grams: list[tuple[str, str, int]], languages: list[str] | None = None) -> Model:
+    """Kneser-Ney models from (language, ORDER characters, count); a language of ``languages`` without counts knows nothing."""
+    languages = languages or sorted({g[0] for g in grams})
     column = {x: k for k, x in enumerate(languages)}
     lang = np.array([column[g[0]] for g in grams], np.int64)
     windows = np.frombuffer("".join(g[1] for g in grams).encode("utf-32-le"), "<u4").astype(np.uint64).reshape(-1, ORDER)
@@ -201,52 +207,65 @@ def judge(model: Model, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nd
     best = h.argmin(axis=1)
     scaled = -(h - h.min(axis=1, keepdims=True)) / model.temperature
     p = 1 / np.exp(scaled).sum(axis=1)
-    limit = model.centre[best] + MARGIN + 6 * model.spread[best] / np.sqrt(np.maximum(n, 1))
+    limit = model.centre[best] + model.margin + 6 * model.spread[best] / np.sqrt(np.maximum(n, 1))
     lowest = h[np.arange(len(h)), best]
     return best, p, (n > 0) & (lowest <= limit)
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """lang, text of at most ``per_language`` labelled rows of each language, chosen by hash.
+    """lang, text, fold of at most ``per_language`` labelled rows of each language, chosen by hash.
 
     Rows whose crc32 of doc_id leaves 2 on division by 4 are never taken. Each of
-    ``per_language`` hash buckets gives its first row; only ids are grouped.
+    ``per_language`` hash buckets gives its first row; only ids are grouped. Rows that
+    share a chosen doc_id and language come with it.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of("doc_id"), F.lit(4)) != 2))
     h = F.xxhash64("doc_id")
     chosen = rows.groupBy("lang", F.pmod(h, F.lit(per_language)).alias("b")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("m"))
-    picked = chosen.select("lang", F.col("m.doc_id").alias("doc_id"), (F.col("b") % 4 == 3).alias("held_back"))
-    return rows.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "text", "held_back")
+    picked = chosen.select("lang", F.col("m.doc_id").alias("doc_id"), F.pmod(F.col("b"), F.lit(FOLDS)).cast("int").alias("fold"))
+    return rows.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "text", "fold")
 
 
-def train(docs: DataFrame, per_language: int = 768, most_grams: int = 200_000) -> Model | None:
+def train(docs: DataFrame, per_language: int = 768) -> Model | None:
     """The calibrated model of ``docs`` (doc_id, text, lang); None when no labelled row has a letter.
 
-    The driver holds at most ``most_grams`` n-grams, the most frequent ones, and
-    three numbers for each held-back row and each row of a language with few of them.
+    The sample bounds what the driver holds: the n-grams of its rows by fold, and one
+    row of numbers for each of its rows.
     """
     rows = sample(docs.select("doc_id", "text", "lang"), per_language).repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
+        found: dict[tuple[str, int], Counter] = {}
         for batch in slices(batches):
-            words: dict[str, Counter] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch)):
-                words.setdefault(lang, Counter()).update(words_of(text))
-            for lang, counts in words.items():
-                own = found.setdefault(lang, Counter())
-                _add_grams(own, counts)
+            words: dict[tuple[str, int], Counter] = {}
+            for lang, fold, text in zip(batch.column("lang").to_pylist(), batch.column("fold").to_pylist(), byte_texts(batch)):
+                words.setdefault((lang, fold), Counter()).update(words_of(text))
+            for key, counts in words.items():
+                _add_grams(found.setdefault(key, Counter()), counts)
             if sum(map(len, found.values())) > 500_000:
                 yield _count_batch(found)
                 found = {}
         yield _count_batch(found)
 
-    counted = rows.filter("not held_back").select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
-    top = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(most_grams).collect()
-    if not top:
+    counted = rows.mapInArrow(count, "lang string, fold int, gram string, n long").groupBy("lang", "gram", "fold").agg(F.sum("n").alias("n"))
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)]
+    grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), *by_fold).orderBy("lang", "gram").toArrow()
+    if not grams.num_rows:
         return None
-    model = fit_counts([(r.lang, r.gram, r.n) for r in top])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    lang, gram = grams.column("lang").to_pylist(), grams.column("gram").to_pylist()
+    total = grams.column("n").to_numpy()
+    model = fit_counts(list(zip(lang, gram, total.tolist())))
+    measured = []
+    for fold in range(FOLDS):
+        rest = total - grams.column(f"n{fold}").to_numpy()
+        if rest.any():
+            measured += _measured(rows.filter(F.col("fold") == fold), fit_counts([(x, g, n) for x, g, n in zip(lang, gram, rest.tolist()) if n], model.languages))
+    return calibrated(model, measured)
+
+
+def _measured(rows: DataFrame, model: Model) -> list[tuple[str, list[float], float]]:
+    """(language, cross-entropies, characters) of each row with a letter."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(held.value)
@@ -254,16 +273,8 @@ def train(docs: DataFrame, per_language: int = 768, most_grams: int = 200_000) -
             h, n = scorer.entropies(byte_texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(n)], ["lang", "h", "n"])
 
-    known = rows.filter(F.col("held_back") & F.col("lang").isin(model.languages)).select("lang", "text")
-    measured = [(r.lang, r.h, r.n) for r in known.mapInArrow(measure, "lang string, h array<double>, n double").collect()]
-    enough = Counter(lang for lang, _, n in measured if n > 0)
-    rare = [x for x in model.languages if enough[x] < LEAST_ROWS]
-    crossed: dict[str, list[tuple[float, float]]] = {}
-    if rare:
-        own = rows.filter(F.col("lang").isin(rare)).select("lang", "text")
-        for r in own.groupBy("lang").applyInPandas(lambda group: _crossed(group, model.floor), "lang string, h double, n double").collect():
-            crossed.setdefault(r.lang, []).append((r.h, r.n))
-    return calibrated(model, measured, crossed)
+    known = rows.filter(F.col("lang").isin(model.languages)).select("lang", "text")
+    return [(r.lang, r.h, r.n) for r in known.mapInArrow(measure, "lang string, h array<double>, n double").filter("n > 0").collect()]
 
 
 def _add_grams(own: Counter, words: Counter) -> None:
@@ -273,67 +284,53 @@ def _add_grams(own: Counter, words: Counter) -> None:
             own[padded[i : i + ORDER]] += k
 
 
-def _crossed(group: pd.DataFrame, floor: float) -> pd.DataFrame:
-    """lang, cross-entropy, characters of each row of one language, by a model of the rows outside its fold."""
-    lang = group["lang"].iloc[0]
-    texts = sorted(t.encode("utf-8", "replace") for t in group["text"])
-    found = []
-    for fold in range(min(FOLDS, len(texts))):
-        own: Counter = Counter()
-        for i, text in enumerate(texts):
-            if i % FOLDS != fold:
-                _add_grams(own, Counter(words_of(text)))
-        if own:
-            model = fit_counts([(lang, gram, n) for gram, n in own.items()])
-            model.floor = floor
-            h, n = Scorer(model).entropies(texts[fold::FOLDS])
-            found += [(lang, a, b) for a, b in zip(h[:, 0], n) if b > 0]
-    return pd.DataFrame(found, columns=["lang", "h", "n"])
-
-
-def _count_batch(found: dict[str, Counter]) -> pa.RecordBatch:
-    rows = [(lang, gram, n) for lang, own in found.items() for gram, n in own.items()]
-    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
-
-
-def calibrated(model: Model, rows: list[tuple[str, list[float], float]], crossed: dict[str, list[tuple[float, float]]] | None = None) -> Model:
-    """Temperature and limits from held-back (language, cross-entropies, characters).
-
-    ``crossed``: cross-validated (cross-entropy, characters) of languages with few rows. A language
-    with few of these too gets the limit of all languages together, or what its own rows reach if that
-    is more, but never more than a uniform guess over the alphabet.
+def _count_batch(found: dict[tuple[str, int], Counter]) -> pa.RecordBatch:
+    rows = [(lang, fold, gram, n) for (lang, fold), own in found.items() for gram, n in own.items()]
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "fold", "gram", "n"])
+
+
+def calibrated(model: Model, rows: list[tuple[str, list[float], float]]) -> Model:
+    """Temperature, centres, spreads and margin from (language, cross-entropies, characters) of rows that their model has not seen.
+
+    The limits of all languages count as ``PRIOR_ROWS`` rows of each. The margin lies halfway
+    between the 99.9th percentile of what rows exceed their own language's limit by and the 5th
+    of what they exceed the nearest other one's by, and never below the former. Without rows
+    only texts no worse than half of a uniform guess are accepted.
     """
-    rows = [r for r in rows if r[2] > 0]
+    rows = sorted((r for r in rows if r[2] > 0), key=lambda r: (r[0], r[2], r[1]))
     width = len(model.languages)
-    model.centre, model.spread = np.zeros(width), np.zeros(width)
-    owns = [[(r[1][k], r[2]) for r in rows if r[0] == name] for k, name in enumerate(model.languages)]
-    for k, name in enumerate(model.languages):
-        if len(owns[k]) < LEAST_ROWS:
-            owns[k] = (crossed or {}).get(name) or owns[k]
-    uniform = -np.log(model.floor) - MARGIN
-    pool = [r for own in owns for r in own]
-    pooled = _centre(pool) if len(pool) >= LEAST_ROWS else (uniform, 0.0)
-    for k, own in enumerate(owns):
-        if len(own) >= LEAST_ROWS:
-            model.centre[k], model.spread[k] = _centre(own)
-        else:
-            model.centre[k] = min(max(pooled[0], _centre(own)[0] if own else 0.0), uniform)
-            model.spread[k] = pooled[1]
+    uniform = -np.log(model.floor)
     if not rows:
+        model.centre, model.spread = np.full(width, uniform / 2), np.zeros(width)
         return model
-    h = np.array([r[1] for r in rows])
+    h, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     true = np.array([model.languages.index(r[0]) for r in rows])
+    every, own = np.arange(len(rows)), h[np.arange(len(rows)), true]
+    pooled = _centre(own, n)
+    model.centre, model.spread = np.full(width, pooled[0]), np.full(width, pooled[1])
+    for k in range(width):
+        held = true == k
+        if held.any():
+            share = held.sum() / (held.sum() + PRIOR_ROWS)
+            centre, spread = _centre(own[held], n[held])
+            model.centre[k] += share * (min(centre, uniform) - pooled[0])
+            model.spread[k] += share * (spread - pooled[1])
+    excess = h - model.centre - 6 * model.spread / np.sqrt(n)[:, None]
+    needed = max(0.0, float(np.quantile(excess[every, true], 0.999)))
+    model.margin = needed
+    if width > 1:
+        excess[every, true] = np.inf
+        model.margin = max(needed, (needed + float(np.quantile(excess.min(axis=1), 0.05))) / 2)
     grid = np.geomspace(0.02, 2.0, 25)
-    gap = h - h[np.arange(len(h)), true][:, None]
+    gap = h - own[:, None]
     losses = [np.log(np.exp(np.minimum(-gap / t, 700)).sum(axis=1)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(losses))])
     return model
 
 
-def _centre(own: list[tuple[float, float]]) -> tuple[float, float]:
+def _centre(h: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Median cross-entropy and its robust spread at one character."""
-    h, n = np.array(own).T
     centre = float(np.median(h))
     return centre, float(np.median(np.abs(h - centre) * np.sqrt(n)) / 0.6745)
 
