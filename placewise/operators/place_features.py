@@ -45,26 +45,34 @@ def account_features(accounts: DataFrame, visits: DataFrame, lat: str, lon: str)
     )
 
 
-def pair_similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """``pairs`` (account_id, other_id) with similarity: the weighted mean of the signals that both accounts have; 0 without any."""
-    side = lambda key, mark: features.select(F.col("account_id").alias(key), *[F.col(c).alias(f"{mark}{c}") for c in FEATURES])
-    rows = pairs.join(side("account_id", "l_"), "account_id").join(side("other_id", "r_"), "other_id")
-    l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))  # noqa: E741
-    told = lambda c: (F.coalesce(l(c), F.lit("")) != "") & (F.coalesce(r(c), F.lit("")) != "")
-    alike = lambda c: fuzzy.ratio_col(F.lower(l(c)), F.lower(r(c)))
-    equal = lambda c: (l(c) == r(c)).cast("double")
-    located = (F.coalesce(l("latitude"), F.lit(0.0)) != 0) & (F.coalesce(r("latitude"), F.lit(0.0)) != 0)
-    away = geo.haversine_m("l_latitude", "l_longitude", "r_latitude", "r_longitude")
-    signals: dict[str, tuple[Column, Column]] = {
-        "spatial": (located, F.exp(-away / DECAY_M)),
+def signals(l: dict[str, Column], r: dict[str, Column]) -> dict[str, tuple[Column, Column]]:  # noqa: E741
+    """For each signal that needs neither distance nor address: (both sides have it, how alike they are), from the features of two sides."""
+    told = lambda c: (F.coalesce(l[c], F.lit("")) != "") & (F.coalesce(r[c], F.lit("")) != "")
+    alike = lambda c: fuzzy.ratio_col(F.lower(l[c]), F.lower(r[c]))
+    equal = lambda c: (l[c] == r[c]).cast("double")
+    return {
         "landmark": (told("landmark"), (alike("landmark") > SAME_LANDMARK).cast("double")),
-        "text": (told("normalized_address"), fuzzy.token_set_ratio_col(l("normalized_address"), r("normalized_address")) / 100),
         "building": (told("building"), alike("building") / 100),
         "street": (told("street"), alike("street") / 100),
         "locality": (told("locality"), alike("locality") / 100),
         "pincode": (told("pincode"), equal("pincode")),
         "cross": (told("cross"), equal("cross")),
     }
-    weight = sum(F.when(has, F.lit(WEIGHTS[name])).otherwise(0.0) for name, (has, _) in signals.items())
-    total = sum(F.when(has, value * WEIGHTS[name]).otherwise(0.0) for name, (has, value) in signals.items())
+
+
+def pair_similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """``pairs`` (account_id, other_id) with similarity: the weighted mean of the signals that both accounts have; 0 without any."""
+    side = lambda key, mark: features.select(F.col("account_id").alias(key), *[F.col(c).alias(f"{mark}{c}") for c in FEATURES])
+    rows = pairs.join(side("account_id", "l_"), "account_id").join(side("other_id", "r_"), "other_id")
+    l, r = ({c: F.col(f"{mark}{c}") for c in FEATURES} for mark in ("l_", "r_"))  # noqa: E741
+    located = (F.coalesce(l["latitude"], F.lit(0.0)) != 0) & (F.coalesce(r["latitude"], F.lit(0.0)) != 0)
+    away = geo.haversine_m("l_latitude", "l_longitude", "r_latitude", "r_longitude")
+    text = (F.coalesce(l["normalized_address"], F.lit("")) != "") & (F.coalesce(r["normalized_address"], F.lit("")) != "")
+    every = {
+        "spatial": (located, F.exp(-away / DECAY_M)),
+        "text": (text, fuzzy.token_set_ratio_col(l["normalized_address"], r["normalized_address"]) / 100),
+        **signals(l, r),
+    }
+    weight = sum(F.when(has, F.lit(WEIGHTS[name])).otherwise(0.0) for name, (has, _) in every.items())
+    total = sum(F.when(has, value * WEIGHTS[name]).otherwise(0.0) for name, (has, value) in every.items())
     return rows.select("account_id", "other_id", F.when(weight > 0, total / weight).otherwise(0.0).alias("similarity"))
