@@ -74,10 +74,15 @@ def verdicts(
 
     Optional boolean columns of ``log``: do_not_contact, consented, legal_notice.
     """
+    return judged(attempt_counts(log, rules), rules, holidays)
+
+
+def judged(counted: DataFrame, rules: config.ContactRules = config.ContactRules(), holidays: DataFrame | None = None) -> DataFrame:
+    """``verdicts`` of attempts whose earlier ones are counted already (batch or stream)."""
     for flag in ("do_not_contact", "consented", "legal_notice"):
-        if flag not in log.columns:
-            log = log.withColumn(flag, F.lit(False))
-    rows = contact_times(attempt_counts(log, rules), rules, holidays)
+        if flag not in counted.columns:
+            counted = counted.withColumn(flag, F.lit(False))
+    rows = contact_times(counted, rules, holidays)
     legal, consent = F.col("legal_notice"), F.col("consented")
     hhmm = F.date_format("local_ts", "HH:mm")
     cooldown = F.col("last_complaint") + F.make_dt_interval(days=F.lit(rules.cooldown_days))

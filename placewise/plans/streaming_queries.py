@@ -3,12 +3,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from placewise.operators import lookup
-from placewise.plans.compliance_queries import _COUNTS
+from placewise.plans.compliance_queries import _COUNTS, _VERDICT, flagged_log, holidays
 from placewise.plans.metric_queries import _PROD
 from placewise.plans.place_queries import growth_sql
 from placewise.plans.registry import query
 from placewise.session import ensure_checkpoint_dir
 from placewise.sources.views import Tables
+from placewise.streaming import contacts
 from placewise.streaming import visits as arrivals
 
 
@@ -88,8 +89,19 @@ def p8(t):
     return t.spark.read.parquet(f"{folder}/out")
 
 
-@query("p9_streaming_contact_guard", f"SELECT id, attempts_today, attempts_7d, attempts_14d FROM ({_COUNTS})")
+def _guarded(t, log, days=None):
+    folder = _folder(t)
+    contacts.run_guard(contacts.guarded(log, holidays=days), f"{folder}/checked", f"{folder}/state")
+    return t.spark.read.parquet(f"{folder}/checked")
+
+
+@query("p9_streaming_contact_guard", f"SELECT id, attempts_today, attempts_7d, attempts_14d, last_complaint FROM ({_COUNTS})")
 def p9(t):
-    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
-    arrivals.run_batches(s.contact_log, arrivals.ContactGuard(t.spark, folder), f"{folder}/state")
-    return t.spark.read.parquet(f"{folder}/checked").select("id", "attempts_today", "attempts_7d", "attempts_14d")
+    s = StreamTables(t.spark, t.sf_dir)
+    return _guarded(t, s.contact_log).select("id", "attempts_today", "attempts_7d", "attempts_14d", "last_complaint")
+
+
+@query("p9_streaming_contact_verdict", f"SELECT id, allowed, reason, next_allowed_at FROM ({_VERDICT})")
+def p9_verdict(t):
+    s = StreamTables(t.spark, t.sf_dir)
+    return _guarded(t, flagged_log(s), holidays(t)).select("id", "allowed", "reason", "next_allowed_at")

@@ -165,31 +165,6 @@ TRACKS = (
 )
 
 
-@dataclass
-class ContactGuard:
-    """Contact-rule counters per micro-batch against the last 14 days of earlier batches."""
-
-    spark: SparkSession
-    root: str
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            earlier = ArrivalRefresh(self.spark, self.root)._earlier("log", batch_id)
-            rows = batch.withColumn("_new", F.lit(True))
-            if earlier is not None:
-                oldest = batch.agg(F.min("attempted_at").alias("t")).scalar()
-                recent = earlier.join(batch.select("account_id").distinct(), "account_id", "left_semi").filter(
-                    F.col("attempted_at") >= oldest - F.make_dt_interval(days=F.lit(15))
-                )
-                rows = rows.unionByName(recent.select(*batch.columns).withColumn("_new", F.lit(False)))
-            checked = compliance.verdicts(rows).filter("_new").drop("_new", "violations")
-            checked.write.mode("overwrite").parquet(f"{self.root}/checked/batch={batch_id}")
-            batch.write.mode("overwrite").parquet(f"{self.root}/log/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-
 def run_batches(stream: DataFrame, handler, checkpoint: str) -> None:
     query = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -9,7 +9,6 @@ from placewise.operators import calibration, compliance, metrics, places
 from placewise.plans import registry
 from placewise.sources import tables
 from placewise.sources.views import required_views
-from placewise.streaming import visits as arrivals
 
 
 def test_catalogue_is_consistent():
@@ -92,16 +91,3 @@ def test_read_split(spark, tmp_path):
 def test_malformed_json_is_null(spark):
     df = spark.createDataFrame([('{"k": 3}',), ("{bad",), (None,)], "j string")
     assert [r[0] for r in df.select(tables.decode_json("j", "k long")["k"]).collect()] == [3, None, None]
-
-
-def test_two_batches_count_earlier_attempts(spark, tmp_path):
-    """Attempts split over two arriving files get the same verdicts as one batch."""
-    day = dt.datetime(2024, 1, 3, 5, 0)
-    rows = [(i, 1, "SMS", day + dt.timedelta(minutes=i), "REACHED") for i in range(6)]
-    schema = "id long, account_id long, channel string, attempted_at timestamp_ntz, outcome string"
-    guard = arrivals.ContactGuard(spark, str(tmp_path / "guard"))
-    guard(spark.createDataFrame(rows[:3], schema), 0)
-    guard(spark.createDataFrame(rows[3:], schema), 1)
-    guard(spark.createDataFrame(rows[3:], schema), 1)  # a replayed batch
-    got = {r.id: r.attempts_today for r in spark.read.parquet(str(tmp_path / "guard" / "checked")).collect()}
-    assert got == {i: i for i in range(6)}
