@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,40 +120,6 @@ def test_street_neighbours_leave_own_account_out(spark):
         assert got[aid].y == pytest.approx(np.median([o[1] for o in others]))
 
 
-def _slow_fit(points, ask):
-    """Offset and source of one asked shape from a row-by-row ridge fit on ``points`` (style, s1, s2, kind, dx, dy)."""
-    style = points[0][0]
-    med = lambda v: float(np.median(v)) if v else 0.0
-    c1, c2 = med([p[1] for p in points if p[1] is not None]), med([p[2] for p in points if p[2] is not None])
-
-    def row(s1, s2, kind):
-        out = [(1.0, 1e-6)]
-        if style == "metro":
-            for b in range(1, 9):
-                out.append((float(s2 is not None and int(s2) == b), 1.0))
-                out.append((s1 - 3.5 if s1 is not None and s2 is not None and int(s2) == b else 0.0, 4.0))
-            out.append((s1 - 3.5 if s1 is not None else 0.0, 1.0))
-        else:
-            for s, c in ((s1, c1), (s2, c2)):
-                out += [(0.0 if s is None else s - c, 0.01), (float(s is None), 1.0)]
-        return out + [(float(kind == k), 3.0) for k in LANDMARK_TYPES]
-
-    rows = [[t[0] for t in row(*p[1:4])] for p in points]
-    ridge = np.diag(np.sqrt([t[1] for t in row(*points[0][1:4])]))
-    y = np.array([p[4:] for p in points])
-    keep = list(range(len(points)))
-    for _ in range(3):
-        x = np.array([rows[i] for i in keep])
-        w = np.linalg.lstsq(np.vstack([x, ridge]), np.vstack([y[keep], np.zeros((len(ridge), 2))]), rcond=None)[0]
-        gaps = [math.dist(y[i], np.array(rows[i]) @ w) for i in range(len(points))]
-        limit = max(150.0, 3 * float(np.median([gaps[i] for i in keep])))
-        left = [i for i, g in enumerate(gaps) if g <= limit]
-        if len(left) < max(4, 0.6 * len(points)) or left == keep:
-            break
-        keep = left
-    return np.array([t[0] for t in row(*ask)]) @ w, len(keep)
-
-
 @pytest.mark.parametrize("style,size,outliers,seed", [("karnataka", 80, 0, 1), ("karnataka", 80, 30, 2), ("metro", 300, 40, 3), ("hindi", 3600, 500, 4)])
 def test_street_model_refits_each_held_out_account(spark, style, size, outliers, seed):
     rng = random.Random(seed)
@@ -167,15 +134,42 @@ def test_street_model_refits_each_held_out_account(spark, style, size, outliers,
     pts = spark.createDataFrame(known, "locality_id string, style string, account_id long, s1 double, s2 double, landmark_type string, dx double, dy double")
     ask = spark.createDataFrame(asked, "address_id long, account_id long, locality_id string, s1 double, s2 double, landmark_type string")
     got = {r.address_id: r for r in street_model.street_predictions(pts, ask, accounts_per_task=2).collect()}
+    # Leaving an account out is a fit on the rest: the rest alone, asked by a stranger, answers alike.
     for k, account, _, s1, s2, kind in asked:
-        rest = [(p[1], *p[3:]) for p in known if p[2] != account]
-        seen = kind is not None and any(p[3] == kind for p in rest)
-        if s1 is None and s2 is None and not seen:
+        rest = [p for p in known if p[2] != account]
+        if s1 is None and s2 is None and not any(kind is not None and p[5] == kind for p in rest):
             assert k not in got
             continue
-        want, kept = _slow_fit(rest, (s1, s2, kind))
-        assert (got[k].dx, got[k].dy) == pytest.approx(tuple(want), abs=1e-5)
-        assert got[k].source == street_model.source_name(s1 is not None or s2 is not None, seen, kept)
+        alone = street_model.street_predictions(spark.createDataFrame(rest, pts.schema), spark.createDataFrame([(k, 10**7, "L1", s1, s2, kind)], ask.schema)).first()
+        assert (got[k].source, got[k].dx, got[k].dy) == (alone.source, pytest.approx(alone.dx, abs=1e-6), pytest.approx(alone.dy, abs=1e-6))
+    # Points follow their street numbers; an account of far points does not move the others' fits by more than the noise.
+    for k, account, _, s1, s2, kind in asked:
+        if style != "metro" and s1 is not None and s2 is not None and size > 200:
+            assert math.hypot(got[k].dx - s1 * 40, got[k].dy - s2 * 50) < 60
+
+
+def _frame(style, rows):
+    return pd.DataFrame([("L1", style, str(k % 7), *r) for k, r in enumerate(rows)], columns=["locality_id", "style", "account_id", "s1", "s2", "landmark_type", "dx", "dy"])
+
+
+@pytest.mark.parametrize("style", ["karnataka", "metro"])
+def test_street_fit_is_a_ridge_minimum_on_what_it_keeps(style):
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.integers(1, 9)), float(rng.integers(1, 7)) if rng.random() < 0.8 else np.nan, None if rng.random() < 0.5 else LANDMARK_TYPES[int(rng.integers(3))], *rng.normal(0, 30, 2)) for _ in range(120)]
+    far = [(float(rng.integers(1, 9)), 2.0, None, 4000.0 + k, -3000.0) for k in range(12)]
+    for points in (rows, rows + far):
+        place = street_model.Locality(_frame(style, points))
+        weights, middles, kept = place.fit(np.ones(len(points), bool))
+        # Near points all stay and far ones go, so the kept ones are the first rows.
+        assert kept == len(rows)
+        near = street_model.Locality(_frame(style, rows))
+        basis, penalty = street_model.terms(style, near.s1, near.s2, near.kind, middles)
+        misses = near.offsets - (basis @ weights)[near.shape]
+        gradient = basis[near.shape].T @ misses - penalty[:, None] * weights
+        assert np.abs(gradient).max() < 1e-6
+        all_misses = np.hypot(*(place.offsets - (street_model.terms(style, place.s1, place.s2, place.kind, middles)[0] @ weights)[place.shape]).T)
+        limit = max(street_model.NEAR_M, street_model.NEAR_MEDIANS * float(np.median(all_misses[: len(rows)])))
+        assert ((all_misses <= limit) == (np.arange(len(points)) < len(rows))).all()
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from placewise.functions import entities, fuzzy, gazetteer, narrative, text
+from placewise.functions import entities, fuzzy, gazetteer, lexicon, narrative, text
 from placewise.operators import place_features
 
 LOCALITIES = [("L1", "T1", "Kuvempu Layout"), ("L2", "T1", "Nehru Colony"), ("L3", "T1", "Green Park Layout")]
@@ -33,6 +33,66 @@ def test_gazetteer_parser(spark):
         assert (r.locality_id, r.s1, r.s2, r.pincode, r.landmark_type, r.relation) == (locality, s1, s2, pin, landmark, relation), i
 
 
+def _common(a, b):
+    rows = [0] * (len(b) + 1)
+    for x in a:
+        above = rows[:]
+        for j, y in enumerate(b, 1):
+            rows[j] = above[j - 1] + 1 if x == y else max(above[j], rows[j - 1])
+    return rows[-1]
+
+
+def test_misspelt_names_against_all_pairs(spark):
+    rng = random.Random(7)
+    names = {"T1": ["kuvempu layout", "gandhi nagar", "gandhi nagara", "aab aab", "ಜಯ ನಗರ", "pura", "pur"], "T2": ["gandhi nagar", "pura colony"]}
+
+    def spoil(text):
+        letters = list(text)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at : at + rng.randint(0, 1)] = [rng.choice("aeginprು")] if rng.random() < 0.5 else []
+        return " ".join("".join(letters).split())
+
+    phrases = []
+    for k in range(120):
+        town = rng.choice(["T1", "T2", ""])
+        words = [rng.choice(["no", "12", "cross", "near", "a"]) for _ in range(rng.randint(0, 4))]
+        words.insert(rng.randint(0, len(words)), spoil(rng.choice(names["T1"])))
+        phrases.append((town, " ".join(" ".join(words).split())))
+    listed = [(f"L{k}", town, name.title() if name.isascii() else name) for town in names for k, name in enumerate(names[town])]
+    localities = spark.createDataFrame(listed, "locality_id string, town_id string, locality_name string")
+    got = {(r.town_id, r.phrase): (r.hit.locality_id, round(r.hit.score, 9), r.hit.start) for r in gazetteer.localities_of(spark.createDataFrame(phrases, "town_id string, phrase string").distinct(), localities).collect()}
+    want = {}
+    for town, phrase in phrases:
+        words, found = phrase.split(" "), []
+        for place, own, name in listed:
+            name, width = name.lower(), len(name.split())
+            for i in range(len(words) - width + 1 if own == town else 0):
+                span = " ".join(words[i : i + width])
+                score = 200 * _common(span, name) / (len(span) + len(name)) if span or name else 100
+                if score >= 82:
+                    found.append((-round(score, 9), place, i))
+        if found:
+            score, place, i = min(found)
+            want[town, phrase] = (place, -score, i)
+    assert got == want and sum(s < 100 for _, s, _ in want.values()) > 15
+
+
+def test_misspelt_landmark_words(spark):
+    words = ["temple", "masjid", "masjidd", "cuhrch", "communitty", "ganesh", "bus", "buss", "मस्जिद", "12345", "pharmcy", "zzzzz"]
+    got = {r.word: (r.landmark_type, r.known) for r in gazetteer.landmark_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    listed = [(w, kind) for kind, own in lexicon.LANDMARK_TYPE_WORDS.items() for w in own]
+    want = {}
+    for word in words:
+        exact = [kind for w, kind in listed if w == word]
+        near = [kind for w, kind in listed if w.isascii() and len(w) >= 5 and 200 * _common(word, w) / (len(word) + len(w)) >= 84]
+        if exact:
+            want[word] = (exact[-1], True)
+        elif len(word) >= 5 and word.isascii() and not word.isdigit() and near:
+            want[word] = (near[0], False)
+    assert got == want and ("communitty" in got) and ("buss" not in got)
+
+
 NORMAL_CASES = [
     ("Hanuman Mandir", "hanuman temple", "en"),
     ("हनुमान मंदिर के पीछे", None, "hi"),
