@@ -157,7 +157,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.table = ChunkTable(self._encode, limit=200_000, trimmed=self._trimmed)
+        self.table = ChunkTable(self._encode, limit=100_000, trimmed=self._trimmed)
         self.sums = np.zeros((1024, len(model.languages) + 1))
         self.used = 0
 
@@ -169,7 +169,7 @@ class Scorer:
         out = np.zeros((len(chunks), self.sums.shape[1]))
         owner = np.repeat(np.arange(len(chunks)), [len(r) for r in rows])
         words = [w for r in rows for w in r]
-        step = 1 << 13
+        step = 1 << 12
         for a in range(0, len(words), step):
             windows, word = windows_of(words[a : a + step])
             logs = log_probabilities(self.model, windows)
@@ -186,7 +186,7 @@ class Scorer:
     def entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy per character for each language, number of characters) of each text."""
         h, n = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts))
-        for a, b in in_groups([len(t) for t in texts]):
+        for a, b in in_groups([len(t) for t in texts], 1 << 20):
             found = self.table.look_up([t.split() for t in texts[a:b]], lambda ids: np.fromiter(ids, np.int64))
             for k, ids in enumerate(found, a):
                 total = self.sums[ids].sum(axis=0)

@@ -54,10 +54,14 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in short runs of rows, so that few texts are held in two forms at once."""
+    """The batches in short runs of rows, so that few texts are held in two forms at once.
+
+    At the end what Arrow holds unused goes back, since a worker lives on through tasks of other kinds.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def in_groups(sizes: Sequence[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
