@@ -12,8 +12,8 @@ Blocks of vectors and blocks of queries are both bounded; each pair is one task.
 usable row is indexed and searched. ``fraction`` is the trade between recall and work.
 
 Rows with a null id, or with a vector that is null, zero, has null or non-finite
-components, or is of another length than most, take no part. A query never finds rows of
-its own id; rows of one id count as one (an arbitrary but fixed one). An empty table gives
+components, or is of another length than most, take no part. A query finds every row but its own: rows that
+share its id are candidates, and each row of a repeated id asks for itself. An empty table gives
 no rows. Other columns are ignored.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from placewise.llm.shared import settled
 from placewise.llm.vectors import main_dimension, matrix, usable
 
 
@@ -69,8 +70,8 @@ def _postings(order: np.ndarray, weights: np.ndarray, pivots: int) -> list[tuple
     return [(rows[a:b], held[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
-def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, permute: Permutations, k: int, settings: Settings):
-    """(query id, id, score) of the ``k`` best found for each query among ``rows``."""
+def search(own: np.ndarray, ids: np.ndarray, rows: np.ndarray, query_own: np.ndarray, queries: np.ndarray, permute: Permutations, k: int, settings: Settings):
+    """(query's place in ``queries``, id, score) of the ``k`` best found for each query among ``rows``; ``own`` numbers tell a query's row."""
     if not len(rows) or not len(queries):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     pivots = len(permute.pivots)
@@ -78,20 +79,20 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     take = min(len(rows), max(settings.least, int(np.ceil(settings.fraction * len(rows)))))
     out = []
     for a in range(0, len(queries), 256):
-        part, part_ids = queries[a : a + 256], query_ids[a : a + 256]
+        part, part_own = queries[a : a + 256], query_own[a : a + 256]
         agreed = np.zeros((len(part), len(rows)), np.int32)
         for (asked, asked_weight), (posted, posted_weight) in zip(_postings(*permute(part, query=True), pivots), files):
             if len(asked) and len(posted):
                 agreed[np.ix_(asked, posted)] += np.minimum.outer(asked_weight, posted_weight)
         near = np.argpartition(-agreed, take - 1, axis=1)[:, :take]
         for q, found in enumerate(near):
-            found = found[ids[found] != part_ids[q]]
+            found = found[own[found] != part_own[q]]
             scores = rows[found] @ part[q]
             if len(found) > k:
                 least = np.partition(scores, len(scores) - k)[len(scores) - k]
                 found, scores = found[scores >= least], scores[scores >= least]
             best = np.lexsort((ids[found], -scores))[:k]
-            out.append((np.full(len(best), part_ids[q]), ids[found[best]], scores[best]))
+            out.append((np.full(len(best), a + q), ids[found[best]], scores[best]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -101,30 +102,30 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     named = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = named.filter(F.col("id").isNotNull() & usable(F.col("v")))
     width = main_dimension(rows, "v")
-    rows = rows.filter(F.size("v") == width)
+    rows = settled(rows.filter(F.size("v") == width).withColumn("own", F.monotonically_increasing_id()))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest"), F.count_if("asks").alias("asked")).first()
     empty = "query_id long, rank int, vec_id long, score double"
     if not facts.n or not facts.asked:
         return spark.createDataFrame([], empty)
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(settings.pivots, facts.n // 4))).select("v").collect()
+    chosen = rows.orderBy(F.xxhash64("id"), "id", "v").limit(max(1, min(settings.pivots, facts.n // 4))).select("v").collect()
     permute = Permutations(np.array([r.v for r in chosen]), facts.longest, settings.prefix)
     held = spark.sparkContext.broadcast(permute)
     blocks = max(settings.least_blocks, -(-facts.n // settings.block_rows))
     rounds = -(-facts.asked // settings.query_rows)
-    h = F.xxhash64("id", F.lit(1))
-    posted = rows.select("id", "v", F.lit(False).alias("asks"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    asked = rows.filter("asks").select("id", "v", "asks", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(h, F.lit(rounds)).cast("int").alias("round"))
+    h = F.xxhash64("own", F.lit(1))
+    posted = rows.select("own", "id", "v", F.lit(False).alias("asks"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    asked = rows.filter("asks").select("own", "id", "v", "asks", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(h, F.lit(rounds)).cast("int").alias("round"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy()
-        both = []
-        for side in (group[~asks], group[asks]):
-            side = side.drop_duplicates("id").sort_values("id")
-            both += [side["id"].to_numpy(), matrix(side["v"], width)]
-        query, found, score = search(*both, held.value, k, settings)
-        return pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
-
-    local = posted.unionByName(asked).groupBy("block", "round").applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        rows, queries = (side.sort_values(["id", "own"]) for side in (group[~asks], group[asks]))
+        query, found, score = search(
+            rows["own"].to_numpy(), rows["id"].to_numpy(), matrix(rows["v"], width), queries["own"].to_numpy(), matrix(queries["v"], width), held.value, k, settings
+        )
+        asking = queries.iloc[query]
+        return pd.DataFrame({"own": asking["own"].to_numpy(), "query_id": asking["id"].to_numpy(), "vec_id": found, "score": score})
+
+    local = posted.unionByName(asked).groupBy("block", "round").applyInPandas(run, "own long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("own").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -105,7 +105,7 @@ def test_recall_of_the_permutation_index(spark, scaled):
 def test_permutation_index_of_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])]
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in permutation_index.nearest(_table(spark, rows), F.col("vec_id") % 20 == 0).collect())
-    assert got == [(0, 1, 3, 1.0), (0, 2, 20, 0.0), (20, 1, 3, 1.0), (20, 2, 0, 0.0)]
+    assert got == sorted([(0, 1, 3, 1.0), (0, 2, 20, 0.0), (0, 3, 20, 0.0), *2 * [(20, 1, 3, 1.0), (20, 2, 20, 1.0), (20, 3, 0, 0.0)]])
     assert permutation_index.nearest(_table(spark, ODD[:6]), F.lit(True)).count() == 0
     assert cover_tree.classes(_table(spark, ODD[:1]).filter("false")).count() == 0
 
@@ -205,3 +205,12 @@ def test_no_python_in_url_plans(spark):
 
 def test_empty_pages(spark):
     assert url_trust.judge(_pages(spark, []), ALLOW, BLOCK).count() == 0
+
+
+def test_permutation_index_of_repeated_ids(spark):
+    """Every row but the query's own is a candidate, whatever its id; the order of rows does not matter."""
+    vectors = [(20, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [5.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 1.0]), (20, [2.0, 0.0])]
+    want = sorted([(20, 5.0, 1), (20, 2.0, 20), (20, 0.9, 1), (20, 0.5, 2), (20, 0.0, 3), (20, 10.0, 1), (20, 2.0, 20), (20, 1.8, 1), (20, 1.0, 2), (20, 0.0, 3)])
+    for rows in (vectors, vectors[::-1]):
+        found = permutation_index.nearest(_table(spark, rows), F.col("vec_id") % 20 == 0).collect()
+        assert sorted((r.query_id, round(r.score, 6), r.vec_id) for r in found) == want
