@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from placewise.llm import word_ids
 from placewise.llm.shared import byte_texts, slices
 
-_SCHEMA = "doc_id long, n_tokens int, ids array<int>"
+_SCHEMA = "doc_id long, n_tokens int, ids array<int>, row long"
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids of each row, in the order of the rows."""
+    """doc_id, n_tokens, ids, row (its number in the partition) of each row, in the order of the rows."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for batch in slices(batches):
             ids = batch.column("doc_id")
             texts = byte_texts(batch)
@@ -38,32 +39,35 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 rows.append(row)
                 held += len(row)
                 if held > 16 << 20:
-                    yield _batch(ids.slice(first, len(rows)), rows)
-                    first, rows, held = first + len(rows), [], 0
+                    yield _batch(ids.slice(first, len(rows)), rows, done)
+                    done, first, rows, held = done + len(rows), first + len(rows), [], 0
             if rows:
-                yield _batch(ids.slice(first, len(rows)), rows)
+                yield _batch(ids.slice(first, len(rows)), rows, done)
+                done += len(rows)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, _SCHEMA)
 
 
-def _batch(doc_ids: pa.Array, rows: list[bytes]) -> pa.RecordBatch:
+def _batch(doc_ids: pa.Array, rows: list[bytes], done: int) -> pa.RecordBatch:
     lengths = [len(r) // 4 for r in rows]
     ends = pa.array([0, *lengths], pa.int32()).to_numpy().cumsum(dtype="int32")
     values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))])
     return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "n_tokens", "ids"]
+        [doc_ids, pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(range(done, done + len(rows)), pa.int64())],
+        ["doc_id", "n_tokens", "ids", "row"],
     )
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, files: int | None = None, row_index_stride: int = 1000, stripe_mb: int = 16) -> None:
     """Encode ``docs`` (doc_id, text) and write them in ascending doc_id order; part files follow that order.
 
-    Texts are sorted before they are encoded: sampling the ranges then reads doc_id
+    Rows of one doc_id (or of none) are ordered by length and text and dealt to files by length, so
+    that many of them share several files. Texts are sorted before they are encoded: sampling the ranges then reads doc_id
     and costs no encoding. A lost task is redone and its file replaced as a whole.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = files or max(source.rdd.getNumPartitions(), 1)
-    dealt = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
+    dealt = source.repartitionByRange(n, "doc_id", F.length("text")).sortWithinPartitions("doc_id", F.length("text"), "text")
     (
         tokenised(dealt, path or word_ids.default_path())
         .write.option("orc.compress", "ZSTD").option("orc.stripe.size", stripe_mb << 20).option("orc.row.index.stride", row_index_stride)
@@ -72,7 +76,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, files: int | No
 
 
 def read(spark: SparkSession, folder: str, doc_ids: Sequence[int] | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids. With ``doc_ids`` the filter reaches the stripes' statistics and Bloom filters."""
+    """doc_id, n_tokens, ids, row (its number in its file). With ``doc_ids`` the filter reaches the stripes' statistics and Bloom filters."""
     rows = spark.read.schema(_SCHEMA).orc(folder)
     return rows if doc_ids is None else rows.filter(F.col("doc_id").isin(list(doc_ids)))
 
@@ -91,13 +95,13 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
             shift = ids.values.offset
             crc = [zlib.crc32(flat[4 * (shift + a) : 4 * (shift + b)]) for a, b in zip(ends, ends[1:])]
             counts = [b - a for a, b in zip(ends, ends[1:])]
-            columns = [batch.column("file"), batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "ids_crc32", "n_tokens"])
+            columns = [batch.column("file"), batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(counts, pa.int64()), batch.column("row")]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "ids_crc32", "n_tokens", "row"])
 
     number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("file")
-    each = read(spark, folder).select(number, "doc_id", "ids").mapInArrow(sums, "file int, doc_id long, ids_crc32 long, n_tokens long")
+    each = read(spark, folder).select(number, "doc_id", "ids", "row").mapInArrow(sums, "file int, doc_id long, ids_crc32 long, n_tokens long, row long")
     totals = read(spark, folder).select(number, "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("_n"))
     before = totals.withColumn("_before", F.sum("_n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))).select("file", F.coalesce("_before", F.lit(0)).alias("_before"))
-    inside = F.sum("n_tokens").over(W.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.sum("n_tokens").over(W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1))
     numbered = each.withColumn("_inside", F.coalesce(inside, F.lit(0)))
     return numbered.join(before, "file").select("doc_id", (F.col("_before") + F.col("_inside")).alias("start"), "n_tokens", "ids_crc32")
