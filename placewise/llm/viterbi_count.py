@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +58,7 @@ class Counter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score, k == unknown_id))
         self.automaton.make_automaton()
+        self.longest = max(len(p) for p, _ in pieces)
         self.unknown = min(s for _, s in pieces) - UNKNOWN_COST
 
     def best(self, part: str) -> tuple[float, int]:
@@ -65,6 +67,8 @@ class Counter:
         scores: list[float | None] = [None] * (size + 1)
         counts, runs = [0] * (size + 1), [-1] * (size + 1)
         scores[0] = 0.0
+        # Bytes before each character, so that a long unknown run is never cut out again.
+        self.bytes = None if part.isascii() else [0, *accumulate(len(ch.encode()) for ch in part)]
         done, covered = 0, False
         # Matches come by their ends, longest first at each end.
         for last, (length, score, unknown) in self.automaton.iter(part):
@@ -98,8 +102,9 @@ class Counter:
             counts[end], runs[end] = counts[start] + 1, -1
             return
         first = runs[start] if runs[start] >= 0 else start
-        run = part[first:end]
-        counts[end] = counts[first] + (1 if run in self.automaton else len(run.encode()))
+        known = end - first <= self.longest and part[first:end] in self.automaton
+        length = end - first if self.bytes is None else self.bytes[end] - self.bytes[first]
+        counts[end] = counts[first] + (1 if known else length)
         runs[end] = first
 
 
