@@ -91,7 +91,8 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), group_rows: int = 81
     """``parts`` with sequence_id and offset.
 
     A piece over a capacity by itself raises. Groups are numbered from a count of the
-    pieces and dealt by hash, so no document, source or length gathers in one of them.
+    pieces and dealt by a hash of the row and its number, so no document, source, length or
+    row that repeats gathers in one of them.
     """
     parts = settled(parts)
     facts = parts.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).first()
@@ -99,7 +100,7 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), group_rows: int = 81
     if longest > capacity.tokens or longest * longest > capacity.attention or (facts.n and capacity.documents < 1):
         raise ValueError("a piece exceeds the capacity of a sequence")
     groups = max(1, -(-facts.n // group_rows))
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

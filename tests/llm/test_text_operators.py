@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import orc
 from pyspark.sql import functions as F
 
 from placewise.llm import best_fit, language_id, neighbour_vote, orc_tokens, piece_codec, shared, simhash, viterbi_count, word_ids
@@ -107,6 +110,41 @@ def test_orc_files(spark, odd, libraries, tmp_path):
     assert "PushedFilters: [In(doc_id, [7])]" in one._jdf.queryExecution().toString() or "EqualTo(doc_id,7)" in one._jdf.queryExecution().toString()
 
 
+def test_orc_starts_are_places_in_the_files(spark, tmp_path):
+    """Equal doc_ids and null ones over several files: starts follow the rows as the files hold them."""
+    folder = str(tmp_path / "ids")
+    docs = [(None if k % 2 else 7, "word " * (k % 13) + str(k * 7919 % 101)) for k in range(400)]
+    orc_tokens.write(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), folder, files=4)
+    files = sorted((tmp_path / "ids").glob("part-*.orc"))
+    assert len(files) > 2
+    want, start = [], 0
+    for file in files:
+        rows = orc.read_table(str(file)).to_pylist()
+        assert [r["row"] for r in rows] == list(range(len(rows)))
+        for r in rows:
+            want.append((r["doc_id"] or 0, start, r["n_tokens"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())))
+            start += r["n_tokens"]
+    assert sorted((r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in orc_tokens.catalogue(spark, folder).collect()) == sorted(want)
+
+
+def test_packing_of_one_row_many_times(spark):
+    """Equal rows are spread over the groups."""
+    parts = spark.createDataFrame([(None, 0, 0, 10, 5)] * 3000, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    rows = best_fit.pack(parts, group_rows=256).collect()
+    groups = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 3000 and len(groups) == 12 and max(groups.values()) < 400
+
+
+def test_long_unknown_runs_take_time_in_proportion():
+    counter = viterbi_count.Counter([("<unk>", 0.0), ("a", -1.0), ("ab", -1.5)])
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        assert counter.best("ж" * n)[1] == 2 * n and counter.best("z" * n)[1] == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
 def _check_packing(rows, tokens):
     by_sequence = {}
     for r in rows:
