@@ -9,7 +9,7 @@ from placewise.plans.place_queries import growth_sql
 from placewise.plans.registry import query
 from placewise.session import ensure_checkpoint_dir
 from placewise.sources.views import Tables
-from placewise.streaming import contacts
+from placewise.streaming import contacts, delivery
 from placewise.streaming import visits as arrivals
 
 
@@ -42,6 +42,51 @@ def p1(t):
     return t.spark.read.parquet(f"{folder}/out")
 
 
+@query(
+    "p2_redelivered_visits",
+    "SELECT visit_id, account_id, agent_id FROM v_visits",
+)
+def p2(t):
+    """Every third visit is submitted twice; one of both passes."""
+    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
+    again = StreamTables(t.spark, t.sf_dir).visits.filter("visit_id % 3 = 0")
+    once = arrivals.drop_repeats(s.visits.unionByName(again))
+    arrivals.run_available(once.select("visit_id", "account_id", "agent_id"), f"{folder}/out", f"{folder}/state")
+    return t.spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    "p1_quarantined_visits",
+    """SELECT visit_id, 'accepted' AS sink, NULL::VARCHAR AS rejected FROM v_visits WHERE account_id IN (SELECT account_id FROM v_accounts WHERE town_id <> 'T0')
+ UNION ALL SELECT visit_id, 'quarantine', 'unknown_account' FROM v_visits WHERE account_id NOT IN (SELECT account_id FROM v_accounts WHERE town_id <> 'T0')""",
+)
+def p1_sinks(t):
+    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
+    arrivals.run_batches(s.visits, delivery.VisitSinks(f"{folder}/sinks", t.accounts.filter("town_id <> 'T0'")), f"{folder}/state")
+    accepted = t.spark.read.parquet(f"{folder}/sinks/accepted").select("visit_id", F.lit("accepted").alias("sink"), F.lit(None).cast("string").alias("rejected"))
+    return accepted.unionByName(t.spark.read.parquet(f"{folder}/sinks/quarantine").select("visit_id", F.lit("quarantine").alias("sink"), "rejected"))
+
+
+_TRIES = """SELECT event_id, event_id % 6 AS before, ts AS attempted_at, CASE event_id % 4 WHEN 0 THEN 201 WHEN 1 THEN 503 WHEN 2 THEN 400 END AS http_status,
+ CASE WHEN event_id % 8 = 3 THEN 'timeout' END AS error FROM events"""
+
+
+@query(
+    "p3_dead_letter_sinks",
+    f"""SELECT event_id, sink, retries, CASE WHEN sink = 'dead_letter' THEN coalesce('HTTP ' || http_status, error, 'Network error') END AS last_error, CASE WHEN sink = 'dead_letter' THEN attempted_at END AS failed_at
+ FROM (SELECT *, before + CASE WHEN http_status = 201 THEN 0 ELSE 1 END AS retries, CASE WHEN http_status = 201 THEN 'synced' WHEN before + 1 >= 5 THEN 'dead_letter' ELSE 'pending' END AS sink FROM ({_TRIES}))""",
+)
+def p3(t):
+    """Attempts at queued items, split into three sinks."""
+    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
+    status = F.when(F.col("event_id") % 4 == 0, 201).when(F.col("event_id") % 4 == 1, 503).when(F.col("event_id") % 4 == 2, 400)
+    queue = s.base("events").select("event_id", (F.col("event_id") % 6).alias("retries"), F.col("ts").alias("attempted_at"), status.alias("http_status"), F.when(F.col("event_id") % 8 == 3, "timeout").alias("error"))
+    arrivals.run_batches(queue, delivery.QueueSinks(f"{folder}/sinks"), f"{folder}/state")
+    read = lambda sink: t.spark.read.parquet(f"{folder}/sinks/{sink}").withColumn("sink", F.lit(sink)).drop("batch")
+    rows = read("synced").unionByName(read("pending")).unionByName(read("dead_letter"), allowMissingColumns=True)
+    return rows.select("event_id", "sink", "retries", "last_error", "failed_at")
+
+
 @query(
     "p3_p4_queue_statistics",
     "SELECT CASE WHEN event_id % 3 = 0 THEN 'synced' WHEN event_id % 8 >= 5 THEN 'dead_letter' ELSE 'pending' END AS route, count(*) AS items FROM events GROUP BY 1",

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 
 from placewise.operators import compliance
-from placewise.streaming import contacts
+from placewise.streaming import contacts, delivery
+from placewise.streaming import visits as arrivals
 
 LOG = "id long, account_id long, channel string, attempted_at timestamp_ntz, outcome string, legal_notice boolean"
 
@@ -75,3 +76,45 @@ def test_state_keeps_recent_attempts_only():
     assert state.milliseconds == 15 * 86_400_000
     state.hasTimedOut = True
     assert list(update((1,), iter([]), state)) == [] and not state.exists
+
+
+VISITS = "visit_id long, account_id long, agent_id string, checkin_ts timestamp_ntz, checkin_x double, checkin_y double, gps_accuracy_m double, dwell_s int"
+
+
+def _deliveries(files):
+    """Visits in time order over ``files`` files; some are delivered again at once, in a later file, or without an account."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 17 == 0 else i % 5, f"A{i % 3}", start + dt.timedelta(minutes=3 * i), float(i), 1.0, -1.0 if i % 11 == 0 else 5.0, 30) for i in range(200)]
+    parts = [rows[200 * k // files : 200 * (k + 1) // files] for k in range(files)]
+    for k, part in enumerate(parts):
+        part += part[::7]
+        if k:
+            part += parts[k - 1][::9]
+    return rows, parts
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_repeats_pass_once_and_rejected_visits_are_kept_apart(spark, tmp_path, files):
+    rows, parts = _deliveries(files)
+    source, schema = str(tmp_path / "in"), spark.createDataFrame([], VISITS).schema
+    accounts = spark.createDataFrame([(k,) for k in range(4)], "account_id long")
+    for part in parts:
+        spark.createDataFrame(part, VISITS).coalesce(1).write.mode("append").parquet(source)
+        stream = arrivals.drop_repeats(spark.readStream.schema(schema).parquet(source))
+        arrivals.run_batches(stream, delivery.VisitSinks(str(tmp_path / "sinks"), accounts), str(tmp_path / "state"))
+    accepted = [r.visit_id for r in spark.read.parquet(str(tmp_path / "sinks/accepted")).collect()]
+    refused = {r.visit_id: r.rejected for r in spark.read.parquet(str(tmp_path / "sinks/quarantine")).collect()}
+    wrong = {r[0]: "invalid_value" if r[1] is None or r[6] < 0 else "unknown_account" for r in rows if r[1] is None or r[6] < 0 or r[1] == 4}
+    assert refused == wrong and sorted(accepted) == sorted({r[0] for r in rows} - set(wrong))
+
+
+def test_queue_sinks_in_batches_and_replayed(spark, tmp_path):
+    schema = "item long, retries int, attempted_at timestamp_ntz, http_status int, error string"
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, 0, at, 200, None), (2, 4, at, 500, None), (3, 4, at, None, "timeout"), (4, 9, at, None, None), (5, 3, at, 404, None), (6, 4, at, 299, None)]
+    sinks = delivery.QueueSinks(str(tmp_path))
+    for batch_id, part in ((0, rows[:3]), (1, rows[3:]), (1, rows[3:])):
+        sinks(spark.createDataFrame(part, schema), batch_id)
+    read = lambda name: {(r["item"], r.retries) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}
+    assert (read("synced"), read("pending"), read("dead_letter")) == ({(1, 0), (6, 4)}, {(5, 4)}, {(2, 5), (3, 5), (4, 10)})
+    assert {r["item"]: (r.last_error, r.failed_at) for r in spark.read.parquet(f"{tmp_path}/dead_letter").collect()} == {2: ("HTTP 500", at), 3: ("timeout", at), 4: ("Network error", at)}
