@@ -16,21 +16,26 @@ def to_degrees(df, x, y):
 
 def scored_visits(t):
     """Canonical visits in degrees with integrity, reliability and trajectory ratio."""
-    tracks = trajectories.summarise(t.gps_points, "projected_xy")
-    canon = canonical_visits(t)
+    return scored(t.visits, trajectories.summarise(t.gps_points, "projected_xy"))
+
+
+def scored(visits, tracks):
+    """``scored_visits`` of some ``visits`` with the ``tracks`` of all."""
+    canon = visits.withColumn("outcome", lookup.canonical_outcome("outcome"))
     history = lookup.newest_visits(canon, "account_id")
     trust = reliability.score(canon, tracks, history, "projected_xy").select(
         "visit_id", "reliability", F.col("efficiency").alias("trajectory_ratio")
     )
-    honest = integrity.detect(t.visits, tracks).select("visit_id", F.col("integrity").alias("integrity_score"))
+    honest = integrity.detect(visits, tracks).select("visit_id", F.col("integrity").alias("integrity_score"))
     return settled(to_degrees(canon, "checkin_x", "checkin_y").join(trust, "visit_id").join(honest, "visit_id"))
 
 
-def geocode_inputs(t):
+def geocode_inputs(t, visits=scored_visits):
+    """Inputs of the batch geocode; ``visits`` makes the scored visits (None: they come later)."""
     results = t.baseline.join(t.addresses.select("address_id", "account_id"), "address_id")
     return geocode.GeocodeInputs(
         accounts=t.accounts,
-        visits=scored_visits(t),
+        visits=visits(t) if visits else None,
         clusters=t.clusters,
         geocodes=to_degrees(results, "geocoder_x", "geocoder_y").withColumns({"provider_rank": F.lit(1), "accuracy_m": F.lit(100.0)}),
         landmarks=to_degrees(t.landmarks, "x", "y"),

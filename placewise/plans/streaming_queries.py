@@ -2,14 +2,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from placewise.operators import lookup
+from placewise.operators import lookup, trajectories
+from placewise.plans.candidate_queries import geocode_inputs, scored
 from placewise.plans.compliance_queries import _COUNTS, _VERDICT, flagged_log, holidays
-from placewise.plans.metric_queries import _PROD
+from placewise.plans.metric_queries import _PROD, rounded
 from placewise.plans.place_queries import growth_sql
 from placewise.plans.registry import query
-from placewise.session import ensure_checkpoint_dir
+from placewise.session import ensure_checkpoint_dir, settled
 from placewise.sources.views import Tables
-from placewise.streaming import contacts, delivery
+from placewise.streaming import contacts, delivery, refresh
 from placewise.streaming import visits as arrivals
 
 
@@ -111,6 +112,17 @@ def p5(t):
     return handler.latest_locations().select("account_id", "x", "y", "confidence", "location_source")
 
 
+@query("p6_refreshed_predictions")
+def p6(t):
+    """Predictions of the accounts that arriving visits touch."""
+    s, folder = StreamTables(t.spark, t.sf_dir), _folder(t)
+    tracks = settled(trajectories.summarise(t.gps_points, "projected_xy"))
+    refresher = refresh.PredictionRefresh(t.spark, folder, geocode_inputs(t, visits=None), lambda visits: scored(visits, tracks.join(visits.select("visit_id"), "visit_id", "left_semi")))
+    arrivals.run_batches(s.visits, refresher, f"{folder}/state")
+    out = refresher.latest("predictions")
+    return rounded(out.withColumn("evidence", F.array_join("evidence", "; ")), 6)
+
+
 _P7 = growth_sql(
     "SELECT visit_id, account_id, checkin_ts, checkin_x AS lat, checkin_y AS lon FROM v_visits WHERE outcome IN ('met_borrower', 'met_family', 'cash_collected')",
     "SELECT NULL::VARCHAR AS cluster_id, 0.0::DOUBLE AS latitude, 0.0::DOUBLE AS longitude WHERE false",
