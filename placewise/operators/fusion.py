@@ -528,6 +528,7 @@ def predict(
     )
 
 
+# Sentences of the required output.
 _DESCRIPTIONS = {
     "base_rooftop": "Commercial geocoder (rooftop precision)",
     "base_street": "Commercial geocoder (street precision)",

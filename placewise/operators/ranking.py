@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from placewise.functions import geo
 from placewise.operators.candidates import SCHEMA
 
+# The names of the features, in order, and the source behind each one-hot feature.
 FEATURES = [
     "address_similarity", "landmark_similarity", "locality_similarity", "distance_to_successful_visits",
     "distance_to_failed_visits", "number_of_supporting_visits", "weighted_successful_visit_count", "visit_integrity",
