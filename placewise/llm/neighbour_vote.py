@@ -146,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3072) -> Model
     h = F.xxhash64("doc_id")
     chosen = usable.groupBy(F.pmod(h, F.lit(max_labelled)).alias("b")).agg(F.min(F.struct(h.alias("h"), "doc_id", "quality")).alias("m"))
     picked = chosen.select(F.col("m.doc_id").alias("doc_id"), F.col("m.quality").cast("int").alias("quality"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # Of several texts of one doc_id the first in order is the labelled one.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("m")).select("doc_id", "m.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _analyser()

@@ -416,3 +416,14 @@ def test_trimmed_tables_give_the_same_results():
     rows = [[b"a", b"bb", b"a"], [b"longer than four", b"a"], [b"ccc", b"dddd"], [b"a", b"ccc"]]
     assert [table.look_up([r])[0] for r in rows] == [[len(c) for c in r] for r in rows]
     assert len(made) > len(set(made)) and len(table.known) <= 5 and b"longer than four" not in table.known
+
+
+def test_labelled_text_of_a_repeated_id_does_not_follow_the_order_of_rows(spark):
+    rows, labels = _quality_rows()
+    twice = rows + [(i, "zz " + t[::-1]) for i, t in rows[:60]]
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    scores = []
+    for data in (twice, twice[::-1]):
+        docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+        scores.append({r.doc_id: round(r.score, 9) for r in neighbour_vote.score(spark.createDataFrame(rows[60:], docs.schema), neighbour_vote.train(docs, table)).collect()})
+    assert scores[0] == scores[1]
