@@ -150,17 +150,20 @@ def nearest_within(
 ) -> DataFrame:
     """Nearest poi per distinct (on, anchor) not farther than ``radius`` (projected metres).
 
-    Anchors are collapsed first: thousands of addresses share a locality centre.
+    Anchors are collapsed first: thousands of addresses share a locality centre. The distinct
+    anchors, not the pois, take the cells around them, and the merge join keeps both tables off
+    the driver: Spark's guess at a table's size knows nothing of cells.
     """
     ax, ay = anchor
     px, py = poi
-    a = anchors.select(*on, ax, ay).distinct().withColumns({"_ca": geo.cell(ax, radius), "_cb": geo.cell(ay, radius)})
-    p = (
-        pois.select(*on, px, py, poi_id)
+    a = (
+        anchors.select(*on, ax, ay)
+        .distinct()
         .withColumn("_o", F.explode(geo.offsets(1)))
-        .withColumns({"_ca": geo.cell(px, radius) + F.col("_o.dx"), "_cb": geo.cell(py, radius) + F.col("_o.dy")})
+        .withColumns({"_ca": geo.cell(ax, radius) + F.col("_o.dx"), "_cb": geo.cell(ay, radius) + F.col("_o.dy")})
         .drop("_o")
     )
+    p = pois.select(*on, px, py, poi_id).withColumns({"_ca": geo.cell(px, radius), "_cb": geo.cell(py, radius)}).hint("merge")
     dist = geo.euclidean_m(ax, ay, px, py)
     return (
         a.join(p, [*on, "_ca", "_cb"])

@@ -40,6 +40,22 @@ def test_row_ranks(spark, hot_rows):
             assert got[i] == expected
 
 
+def test_nearest_within_keeps_pois_off_the_driver(spark, tmp_path):
+    """Against brute force, by a plan that broadcasts neither side however small Spark takes the pois to be."""
+    rng = random.Random(5)
+    pois = [(k, rng.choice("ab"), rng.uniform(-2000, 2000), rng.uniform(-2000, 2000)) for k in range(400)]
+    anchors = [(rng.choice("abc"), rng.uniform(-2500, 2500), rng.uniform(-2500, 2500)) for _ in range(60)]
+    df = spark.createDataFrame(anchors * 3, "kind string, ax double, ay double")
+    spark.createDataFrame(pois, "poi_id long, kind string, x double, y double").write.parquet(f"{tmp_path}/pois")
+    near = proximity.nearest_within(df, spark.read.parquet(f"{tmp_path}/pois"), ["kind"], ("ax", "ay"), ("x", "y"), "poi_id", 300.0)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for kind, ax, ay in anchors:
+        inside = [(math.hypot(x - ax, y - ay), k) for k, own, x, y in pois if own == kind and math.hypot(x - ax, y - ay) <= 300]
+        want |= {(kind, ax, ay, min(inside)[1])} if inside else set()
+    assert want and {(r.kind, r.ax, r.ay, r.poi_id) for r in near.collect()} == want
+
+
 def test_box_neighbours(spark):
     rng = random.Random(3)
     # A dense spot, a sparse field and a point at the spot's rim.
