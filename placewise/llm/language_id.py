@@ -100,13 +100,15 @@ def windows_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_probabilities(model: Model, windows: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each window's last character, for each language."""
-    p = np.full((len(windows), len(model.languages)), model.floor)
+    """Natural log-probability of each window's last character, for each language; equal windows are looked up once."""
+    _, first, place = np.unique(_hashes(windows, ORDER)[0], return_index=True, return_inverse=True)
+    own = windows[first]
+    p = np.full((len(own), len(model.languages)), model.floor)
     for n, level in enumerate(model.levels, 1):
-        gram, context = _hashes(windows, n)
+        gram, context = _hashes(own, n)
         p *= _rows(level.contexts, level.backoff, context, 1.0)
         p += _rows(level.grams, level.discounted, gram, 0.0)
-    return np.log(p)
+    return np.log(p)[place]
 
 
 def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
@@ -169,7 +171,7 @@ class Scorer:
         out = np.zeros((len(chunks), self.sums.shape[1]))
         owner = np.repeat(np.arange(len(chunks)), [len(r) for r in rows])
         words = [w for r in rows for w in r]
-        step = 1 << 12
+        step = 1 << 14
         for a in range(0, len(words), step):
             windows, word = windows_of(words[a : a + step])
             logs = log_probabilities(self.model, windows)

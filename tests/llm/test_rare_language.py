@@ -109,3 +109,14 @@ def test_many_languages_with_rare_ones(spark):
     got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(asked, _SCHEMA), model).collect()}
     assert sum(got[i].lang_pred == lang for i, _, lang in asked) >= 0.98 * len(asked)
     assert sum(got[i].accepted for i, _, _ in asked) >= 0.97 * len(asked)
+
+
+def test_equal_windows_are_looked_up_once(monkeypatch):
+    model = language_id.fit_counts([("xx", "    b", 5), ("xx", "   ba", 5), ("yy", "  bad", 2), ("yy", " bad ", 2)])
+    windows, _ = language_id.windows_of(["bad", "ba", "dab"])
+    want = np.concatenate([language_id.log_probabilities(model, windows[k : k + 1]) for k in range(len(windows))])
+    asked, rows = [], language_id._rows
+    monkeypatch.setattr(language_id, "_rows", lambda keys, values, wanted, otherwise: asked.append(len(wanted)) or rows(keys, values, wanted, otherwise))
+    got = language_id.log_probabilities(model, np.tile(windows, (50, 1)))
+    assert np.array_equal(got, np.tile(want, (50, 1)))
+    assert max(asked) <= len(windows)
