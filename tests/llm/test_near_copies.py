@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from placewise.llm import near_copies
+from placewise.llm import near_copies, simhash
 
 
 def _sets(rows):
@@ -119,5 +121,20 @@ def test_shared_line_and_template_cluster(spark):
     assert got == {i: i if i < 2000 else 2000 for i, _ in rows}
 
 
+def test_stage_checks_what_simhash_proposes(spark, monkeypatch):
+    """Without the search by shared shingles the stage still links what fingerprints show, and only what the exact check confirms."""
+    base = [f"w{k}" for k in range(400)]
+    near, far = [*base[:399], "x"], [f"v{k}" for k in range(400)]
+    rows = [(0, " ".join(base)), (1, " ".join(near)), (2, " ".join(far)), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # The fingerprint of an unlike text one bit from that of the first.
+    prints = {0: 0, 1: 1, 2: 3, 3: 0, 4: 0}
+    table = spark.createDataFrame([(i, f) for i, f in prints.items()], "doc_id long, fp long")
+    own = lambda docs, shingle=4: docs.join(table, "doc_id").select("doc_id", F.xxhash64("text").alias("place"), "fp")
+    monkeypatch.setattr(simhash, "fingerprints", own)
+    monkeypatch.setattr(near_copies, "links", lambda docs, each, shingle: docs.sparkSession.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
+
+
 def test_no_rows(spark):
     assert near_copies.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
