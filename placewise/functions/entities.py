@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.functions import lexicon as lex
 from placewise.functions.text import extract_pincode, normalize_addresses
+from placewise.session import settled
 
 ENTITY = "array<struct<entity_type:string,value:string,confidence:double,relation:string>>"
 _MARK = "\u0001"
@@ -59,11 +64,20 @@ def _relation_triples(text: Column, pattern: str) -> Column:
         )
 
     n = F.floor((F.size(pieces) - 1) / 2).cast("int")
-    # Most texts have no match for most patterns: those skip the split pieces altogether.
-    indexes = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # Most texts have no match for most patterns: those skip the split pieces, most even the regex.
+    indexes = F.when(_holds(text, _heads(pattern)) & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(indexes, triple)
 
 
+def _heads(pattern: str) -> list[str]:
+    """The letters that the alternatives of a relation pattern start with: a match holds one of them."""
+    return sorted({re.match("[a-z]+", way).group() for way in pattern.removeprefix(r"\b(").split("|")})
+
+
+def _holds(text: Column, words: list[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
 def landmark(text: Column, rels: Column) -> Column:
     """The relation neighbour that names a landmark, else the first landmark word with its context."""
     any_word = "|".join(_KEYWORDS)
@@ -99,7 +113,22 @@ def _word_in(text: Column, word: Column) -> Column:
 
 
 def extract_entities(df: DataFrame, text: str) -> DataFrame:
-    """Normalises ``text`` and adds entities, relations, pincode, landmark, locality, city, state and confidence."""
+    """Normalises ``text`` and adds entities, relations, pincode, landmark, locality, city, state and confidence.
+
+    Equal texts are read once. Few small files hold many addresses, so the distinct texts are
+    dealt over all tasks whatever their bytes.
+    """
+    told = F.coalesce(F.col(text), F.lit(""))
+    context = df.sparkSession.sparkContext
+    tasks = max(2 * context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # By a hash: a second shuffle by the text itself would be taken for the first and merged into few tasks.
+    texts = df.select(told.alias("_told")).distinct().repartition(tasks, F.xxhash64("_told"))
+    facts = settled(_extracted(texts, "_told"))
+    kept = df.select("*", told.alias("_text")).drop(*[c for c in facts.columns if c != text])
+    return kept.join(facts, kept["_text"] == facts["_told"]).drop("_text", "_told")
+
+
+def _extracted(df: DataFrame, text: str) -> DataFrame:
     out = normalize_addresses(df, text)
     t = F.col("normalized_address")
     out = out.withColumn("_st", _states(t)).withColumn("relations", relations(t))
@@ -115,7 +144,7 @@ def extract_entities(df: DataFrame, text: str) -> DataFrame:
     codes = F.array(*[F.struct(F.lit(k).alias("code"), F.lit(v).alias("state")) for k, v in lex.STATE_CODES.items()])
     by_code = F.transform(F.filter(codes, lambda s: _word_in(rest, s["code"])), lambda s: F.initcap(s["state"]))
     localities = [
-        _each("LOCALITY", _all(rest, rf"([a-z\s]+?)\s+{s}\b"), 0.7, _suffixed(s))
+        _each("LOCALITY", F.when(F.contains(rest, F.lit(s)), _all(rest, rf"([a-z\s]+?)\s+{s}\b")).otherwise(F.array().cast("array<string>")), 0.7, _suffixed(s))
         for s in lex.LOCALITY_SUFFIXES
     ]
     sector = _first(t, lex.SECTOR_PATTERN)

@@ -229,3 +229,26 @@ def test_pair_similarity_by_hand(spark):
     away = 6371000 * math.radians(0.001)
     parts = {"spatial": math.exp(-away / 200), "landmark": 0.0, "pincode": 1.0}
     assert got[(1, 4)] == pytest.approx(sum(weights[k] * v for k, v in parts.items()) / sum(weights[k] for k in parts))
+
+
+def test_equal_texts_are_read_once(spark):
+    """The patterns run before the join that gives each row its text's facts; a null text reads as an empty one."""
+    texts = ["No 5, 3rd Cross, near temple, Gandhi Nagar - 560001", "12 Rose Apartments, behind Old Bank, Delhi", None, ""]
+    rows = [(i, texts[i % 4], f"kept {i}") for i in range(40)]
+    out = entities.extract_entities(spark.createDataFrame(rows, "id long, a string, pincode string").coalesce(1), "a")
+    assert "regexp" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 40
+    for i in range(40):
+        assert (got[i].a, got[i].raw_address) == (texts[i % 4], (texts[i % 4] or ""))
+        assert got[i][2:] == got[i % 4][2:]
+    assert (got[0].pincode, got[0].landmark, got[0].locality, got[1].state, got[2].confidence) == ("560001", "temple,", "Gandhi Nagar", "Delhi", got[3].confidence)
+    assert [(r.before, r.relation, r.after) for r in got[1].relations] == [("apartments,", "behind", "old")]
+
+
+def test_every_relation_word_passes_the_guard(spark):
+    """Each way of each pattern is found, though the pattern only runs on texts that hold its letters."""
+    ways = [w.replace("\\s+", "  ") for p in lexicon.RELATION_PATTERNS for w in p.removeprefix("\\b(").removesuffix(")\\b").split("|")]
+    df = spark.createDataFrame([(i, f"a {w} b") for i, w in enumerate(ways)], "id int, t string")
+    got = {r.id: r.rels for r in df.select("id", entities.relations(F.col("t")).alias("rels")).collect()}
+    assert all(any(x.relation in w or w in x.relation for x in got[i]) for i, w in enumerate(ways)) and len(ways) > 40
