@@ -6,8 +6,10 @@ not Spark's ``levenshtein``.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,6 +82,95 @@ def _slide(short: str, long: str) -> float:
     return best
 
 
+def lcs_lengths(a: list[str], b: list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """``lcs_length`` of the pairs (a[one], b[two]): the bit rows of all pairs move on letter by letter together."""
+    out = np.zeros(len(one), np.int64)
+    long = np.array([len(t) > 63 for t in a])[one]
+    for k in np.nonzero(long)[0]:
+        out[k] = lcs_length(a[one[k]], b[two[k]])
+    place = {ch: n for n, ch in enumerate(sorted(set().union(*a)))}
+    at_once = max(1024, 4_000_000 // (len(place) + 1))
+    short = np.nonzero(~long)[0]
+    for low in range(0, len(short), at_once):
+        part = short[low:low + at_once]
+        (own, x), (other, y) = (np.unique(side[part], return_inverse=True) for side in (one, two))
+        where = np.zeros((len(own), len(place) + 1), np.uint64)
+        for n, t in enumerate(own):
+            for bit, ch in enumerate(a[t]):
+                where[n, place[ch]] |= np.uint64(1 << bit)
+        letters = np.full((max(len(b[t]) for t in other), len(other)), len(place))
+        for n, t in enumerate(other):
+            letters[:len(b[t]), n] = [place.get(ch, len(place)) for ch in b[t]]
+        size = np.array([len(a[t]) for t in own], np.uint64)[x]
+        full = (np.uint64(1) << size) - np.uint64(1)
+        row = full.copy()
+        for step in letters:
+            hit = row & where[x, step[y]]
+            row = (row + hit) | (row - hit)
+        out[part] = size.astype(np.int64) - np.bitwise_count(row & full)
+    return out
+
+
+def _distinct(text: np.ndarray, mark: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and number of each distinct (text, marks of a set)."""
+    _, first, number = np.unique(mark + 1j * (text * 2.0**43 + other), return_index=True, return_inverse=True)
+    return first, number
+
+
+_WORD_GAP = re.compile(r"[ \t\n\x0b\f\r]+")
+_WORDS_AT_ONCE = 2048
+
+
+def token_sets_reach(a: list[str], b: list[str], least: np.ndarray) -> np.ndarray:
+    """Which pairs of the texts ``a`` and ``b`` have a ``token_set_ratio_col`` of ``least`` (one value a pair) or more."""
+    sets = [[frozenset(w for w in _WORD_GAP.split(t) if w) for t in side] for side in (a, b)]
+    number = {w: i for i, w in enumerate(sorted(set().union(*sets[0]) & set().union(*sets[1])))}
+    letters = np.array([len(w) for w in number], dtype=np.float32)
+    at = [np.array([(i, number[w]) for i, s in enumerate(side) for w in s if w in number], dtype=np.int64).reshape(-1, 2) for side in sets]
+    both, chars, *marks = (np.zeros(least.shape) for _ in range(4))
+    # Whole numbers below 2 ** 53 in all sums: two independent ones tell sets of common words apart.
+    drawn = [np.random.default_rng(seed).integers(1, 2**top, len(number)).astype(np.float64) for seed, top in ((1, 40), (2, 31))]
+    for low in range(0, len(number), _WORDS_AT_ONCE):
+        own = letters[low:low + _WORDS_AT_ONCE]
+        tables = []
+        for side, found in zip(sets, at):
+            table = np.zeros((len(side), len(own)), np.float32)
+            part = found[(found[:, 1] >= low) & (found[:, 1] < low + len(own))]
+            table[part[:, 0], part[:, 1] - low] = 1
+            tables.append(table)
+        both += tables[0] @ tables[1].T
+        chars += (tables[0] * own) @ tables[1].T
+        for total, codes in zip(marks, drawn):
+            total += (tables[0].astype(np.float64) * codes[low:low + len(own)]) @ tables[1].T.astype(np.float64)
+    count = [np.array([len(s) for s in side], np.float64) for side in sets]
+    size = [np.array([sum(map(len, s)) for s in side], np.float64) for side in sets]
+    gaps = lambda n: np.maximum(n - 1, 0)
+    shared = chars + gaps(both)
+    la = size[0][:, None] - chars + gaps(count[0][:, None] - both)
+    lb = size[1] - chars + gaps(count[1] - both)
+    gap = shared > 0
+    span = np.maximum(2.0 * (shared + gap) + la + lb, 1)
+    with_a = 100 - 100 * (gap + la) / np.maximum(2.0 * shared + gap + la, 1)
+    with_b = 100 - 100 * (gap + lb) / np.maximum(2.0 * shared + gap + lb, 1)
+    # Without a common letter, and with as many as the shorter rest has.
+    known = np.where(gap, np.maximum(np.maximum(with_a, with_b), 100 - 100 * (la + lb) / span), 0)
+    most = np.maximum(known, 100 - 100 * np.abs(la - lb) / span)
+    known[gap & ((la == 0) | (lb == 0))] = 100
+    void = (count[0] == 0)[:, None] | (count[1] == 0)
+    known[void] = most[void] = 0
+    reached = known >= least
+    i, j = np.nonzero(~reached & (most >= least - 1e-9))
+    if len(i):
+        # What is left over of a text follows from its common words with the other: equal sets share their sums.
+        first, one = _distinct(i, marks[0][i, j], marks[1][i, j])
+        lefts = [" ".join(sorted(sets[0][i[k]] - sets[1][j[k]])) for k in first]
+        first, two = _distinct(j, marks[0][i, j], marks[1][i, j])
+        rights = [" ".join(sorted(sets[1][j[k]] - sets[0][i[k]])) for k in first]
+        common = lcs_lengths(lefts, rights, one, two)
+        reached[i, j] = 100 - 100 * (la[i, j] + lb[i, j] - 2 * common) / span[i, j] >= least[i, j]
+    return reached
+
+
 @lru_cache(maxsize=1)
 def _udfs():
     @F.pandas_udf("double")

@@ -7,6 +7,7 @@ that measures takes the system explicitly: ``wgs84`` (degrees, great circle) or
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +29,14 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
+def distances_m(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """``haversine_m`` of every point of one list from every point of another, inside a task."""
+    (lat1, lon1), (lat2, lon2) = ([np.radians(np.asarray(c, dtype=np.float64)) for c in pair] for pair in ((lat1, lon1), (lat2, lon2)))
+    half_lat, half_lon = (np.sin((two - one[:, None]) / 2) for one, two in ((lat1, lat2), (lon1, lon2)))
+    a = half_lat * half_lat + np.cos(lat1)[:, None] * np.cos(lat2) * half_lon * half_lon
+    return 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1.0 - a))
+
+
 def euclidean_m(x1, y1, x2, y2) -> Column:
     dx, dy = _c(x2) - _c(x1), _c(y2) - _c(y1)
     return F.sqrt(dx * dx + dy * dy)

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,59 @@ def alike_pairs(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
     return blocks.compared(rows).select(F.col("a").alias("account_id"), F.col("b").alias("other_id"), "similarity")
 
 
+def _tile_links(threshold: float):
+    """Counts, for the nodes of two slices, how many of the other slice's are alike.
+
+    Shared and left-over letters of all pairs of texts come from products of word tables. They bound
+    the likeness; common letters in order are only counted where the bounds leave a pair open.
+    """
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        base, weight, near = (left[c].iloc[0] for c in ("base", "weight", "near"))
+        one, two = left["node"].to_numpy(), right["node"].to_numpy()
+        # Half a unit of the ninth place: the similarity is rounded there.
+        lacking = np.full((len(one), len(two)), (threshold - 5e-10) * weight - base)
+        if near:
+            lacking -= WEIGHTS["spatial"] * np.exp(-geo.distances_m(left["lat"], left["lon"], right["lat"], right["lon"]) / DECAY_M)
+        hits = lacking <= 0
+        if left["text"].notna().all() and right["text"].notna().all():
+            hits = fuzzy.token_sets_reach(left["text"].tolist(), right["text"].tolist(), lacking * (100 / WEIGHTS["text"]))
+        if left["group"].iloc[0] == right["group"].iloc[0]:
+            hits &= (one[:, None] < two) if left["slice"].iloc[0] == right["slice"].iloc[0] else True
+        out = pd.DataFrame({"node": np.concatenate([one, two]), "links": np.concatenate([hits.sum(1), hits.sum(0)])})
+        return out[out["links"] > 0]
+
+    return count
+
+
+def links(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """account_id, node, n_links of ``nodes_of`` rows: how many other nodes the account's node is alike at or above ``threshold``.
+
+    Certain pairs of groups are counted by their sizes; open ones are compared slice by slice, and only
+    counts leave a task.
+    """
+    nodes = settled(nodes)
+    blocks = Blocks(nodes, threshold)
+    sure = F.round(F.col("base") / F.col("weight"), 9) >= threshold
+    sizes = blocks.members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    whole = blocks.pairs.filter(sure).select("ga", "gb")
+    both = whole.union(whole.filter("ga <> gb").select("gb", "ga")).toDF("group", "other")
+    certain = both.join(sizes.toDF("other", "n"), "other").groupBy("group").agg(F.sum(F.col("n") - (F.col("group") == F.col("other")).cast("long")).alias("links"))
+    certain = blocks.members.join(certain, "group").select("node", "links")
+
+    cut = settled(sizes.select("group", F.ceil(F.col("n") / F.lit(SLICE_ROWS)).cast("int").alias("slices")))
+    dealt = settled(blocks.members.join(cut, "group").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).select("group", "slice", *_NODE))
+    parts = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    tiles = blocks.pairs.filter(~sure).join(cut.toDF("ga", "na"), "ga").join(cut.toDF("gb", "nb"), "gb").withColumn("sa", parts("na")).withColumn("sb", parts("nb"))
+    tiles = settled(tiles.filter((F.col("ga") != F.col("gb")) | (F.col("sa") <= F.col("sb"))).select("ga", "gb", "sa", "sb", "base", "weight", "near"))
+    side = lambda i, g, s: tiles.select("*", F.lit(i).alias("side"), F.col(g).alias("group"), F.col(s).alias("slice")).join(dealt, ["group", "slice"])
+    met = side(0, "ga", "sa").unionByName(side(1, "gb", "sb"))
+    counted = met.groupBy("ga", "gb", "sa", "sb").applyInPandas(_tile_links(threshold), "node long, links long")
+    total = certain.unionByName(counted).groupBy("node").agg(F.sum("links").alias("n_links"))
+    return nodes.select("account_id", "node").join(total, "node", "left").select("account_id", "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def alike_places(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
     """account_id, place of each account: density clusters of two or more by similarity; other accounts have none (an only account is its own)."""
     nodes = settled(nodes)

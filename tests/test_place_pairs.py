@@ -3,8 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from placewise.functions import fuzzy
 from placewise.operators import place_pairs
 
 SCHEMA = "account_id long, latitude double, longitude double, normalized_address string, landmark string, locality string, pincode string, building string, street string, cross string"
@@ -123,6 +126,38 @@ def test_pairs_and_places_against_all_pairs(spark, seed, hot, monkeypatch):
             assert places[i] == f"t{find(i)}"
 
 
+@pytest.mark.parametrize("seed,hot", [(1, 0.0), (3, 0.9)])
+def test_links_against_all_pairs(spark, seed, hot, monkeypatch):
+    """Slices and word tables of a few entries; no pair leaves the comparison as a row."""
+    monkeypatch.setattr(place_pairs, "SLICE_ROWS", 16)
+    monkeypatch.setattr(fuzzy, "_WORDS_AT_ONCE", 3)
+    rows = _accounts(seed, hot=hot)
+    nodes = place_pairs.nodes_of(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    node = {r.account_id: r.node for r in nodes.collect()}
+    want = dict.fromkeys(node.values(), 0)
+    for pair in _brute(rows, 0.75):
+        if all(node[i] == i for i in pair):
+            for i in pair:
+                want[i] += 1
+    found = place_pairs.links(nodes)
+    assert {r.account_id: (r.node, r.n_links) for r in found.collect()} == {i: (n, want[n]) for i, n in node.items()}
+    assert sum(want.values()) > 100
+
+
+def test_token_sets_reach_as_the_ratio_says(spark):
+    rng = random.Random(8)
+    words = ["a", "ab", "abc", "bca", "cab", "no.", "12", "123", "321", "\u0c95\u0ca8", "road"]
+    texts = ["", "   "] + [rng.choice([" ", "  ", "\t"]).join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    pairs = [(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    ratio = spark.createDataFrame(pairs, "i int, j int, a string, b string").select("i", "j", fuzzy.token_set_ratio_col(F.col("a"), F.col("b")).alias("r")).collect()
+    exact = np.zeros((len(texts), len(texts)))
+    for r in ratio:
+        exact[r.i, r.j] = r.r
+    for shift in (-1e-6, 1e-6):
+        assert (fuzzy.token_sets_reach(texts, texts, exact + shift) == (shift < 0)).all()
+    assert (fuzzy.token_sets_reach(texts, texts, np.full(exact.shape, 60.000001)) == (exact >= 60.000001)).all()
+
+
 def test_one_account_and_none(spark):
     one = _accounts(5)[:1]
     assert [r.place for r in place_pairs.alike_places(place_pairs.nodes_of(spark.createDataFrame(one, SCHEMA))).collect()] == ["t0"]
