@@ -5,8 +5,8 @@ and a plain window sorts a group in one task. Both break when a single key
 holds a large share of the rows. Here a group above ``HOT_GROUP_ROWS`` is first
 cut into value segments by a bounded sketch; counts per segment give each
 segment its starting rank, and only values inside one segment are sorted
-together. Smaller groups are one segment. Ties are collapsed to (value, count)
-before any shuffle by rank, so a repeated value costs one row.
+together. Smaller groups meet in one window, sorted once. Ties are collapsed to
+(value, count) before any shuffle by rank, so a repeated value costs one row.
 
 The sketch only decides where the cuts are; ranks come from exact counts.
 """
@@ -32,22 +32,26 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int |
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
     k = keys or ["_all"]
+    rows = rows.dropna(subset=keys) if keys else rows
     # Every branch below reads cnt, so all of them share this one shuffle.
     distinct = rows.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > 0)
-    # Size of each group in distinct values; only large ones get cut points.
-    big = distinct.groupBy(*k).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > F.lit(hot_rows)).drop("_d")
-    probs = [i / _SEGMENTS for i in range(1, _SEGMENTS)]
-    cuts = (
-        distinct.join(big, k, "left_semi")
-        .groupBy(*k)
-        .agg(F.percentile_approx("_v", probs, 4 * _SEGMENTS).alias("_cuts"))
-    )
-    segmented = (
-        distinct.join(cuts, k, "left")
-        .withColumn("_seg", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0)))
-        .withColumn("_seg", F.greatest(F.col("_seg"), F.lit(0)))
-        .drop("_cuts")
+    # Size of each group in distinct values. Only groups of more than ``hot_rows`` are here: few rows, whatever the table.
+    big = F.broadcast(distinct.groupBy(*k).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > F.lit(hot_rows)).drop("_d"))
+    ordered = W.partitionBy(*k).orderBy("_v")
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    small = distinct.join(big, k, "left_anti").select(
+        *k, F.col("_v").alias(value), "cnt", (F.sum("cnt").over(ordered) - F.col("cnt")).alias("first_rank"), F.sum("cnt").over(whole).alias("n")
     )
+    out = small.unionByName(_in_segments(distinct.join(big, k, "left_semi"), k, value))
+    return out if keys else out.drop("_all")
+
+
+def _in_segments(distinct: DataFrame, k: list[str], value: str) -> DataFrame:
+    """``value_ranks`` of large groups, from their (keys, _v, cnt)."""
+    probs = [i / _SEGMENTS for i in range(1, _SEGMENTS)]
+    cuts = distinct.groupBy(*k).agg(F.percentile_approx("_v", probs, 4 * _SEGMENTS).alias("_cuts"))
+    # One row for each large group.
+    segmented = distinct.join(F.broadcast(cuts), k).withColumn("_seg", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     per_segment = segmented.groupBy(*k, "_seg").agg(F.sum("cnt").alias("_c"))
     by_key = W.partitionBy(*k).orderBy("_seg")
     per_segment = per_segment.select(
@@ -57,14 +61,13 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int |
         F.sum("_c").over(W.partitionBy(*k)).alias("n"),
     )
     within = W.partitionBy(*k, "_seg").orderBy("_v")
-    out = segmented.join(per_segment, [*k, "_seg"]).select(
+    return segmented.join(per_segment, [*k, "_seg"]).select(
         *k,
         F.col("_v").alias(value),
         "cnt",
         (F.col("_base") + F.sum("cnt").over(within) - F.col("cnt")).alias("first_rank"),
         "n",
     )
-    return out if keys else out.drop("_all")
 
 
 Position = Callable[[Column], Column]
@@ -139,17 +142,28 @@ def row_ranks(
     df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, rank_as: str = "row_rank", n_as: str = "group_rows",
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Every row with its exact zero-based rank by (value, tiebreak) and its group's row count."""
-    ranked = value_ranks(df, keys, value, hot_rows).select(
+    """Every row with its exact zero-based rank by (value, tiebreak) and its group's row count.
+
+    Groups of more than ``hot_rows`` rows are ranked by ``value_ranks``, the others in one window each.
+    """
+    hot_rows = config.HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    keys = list(keys)
+    known = df.withColumn("_rv", F.col(value).cast("double")).dropna(subset=[*keys, "_rv"])
+    # Few rows, whatever the table.
+    big = F.broadcast(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > F.lit(hot_rows)).drop("_d"))
+    ordered = W.partitionBy(*keys).orderBy("_rv", tiebreak)
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    small = known.join(big, keys, "left_anti").withColumns(
+        {rank_as: (F.row_number().over(ordered) - F.lit(1)).cast("long"), n_as: F.count(F.lit(1)).over(whole)}
+    )
+    rows = known.join(big, keys, "left_semi").select(*known.columns)
+    ranked = value_ranks(rows, keys, value, hot_rows).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"), "first_rank", F.col("n").alias(n_as)
     )
-    rows = df.withColumn("_rv", F.col(value).cast("double"))
     on = rows["_rv"] == ranked["_v"]
     for i, key in enumerate(keys):
         on = on & (rows[key] == ranked[f"_k{i}"])
     ties = W.partitionBy(*keys, "_rv").orderBy(tiebreak)
-    return (
-        rows.join(ranked, on)
-        .withColumn(rank_as, F.col("first_rank") + F.row_number().over(ties) - F.lit(1))
-        .drop("_rv", "_v", "first_rank", *[f"_k{i}" for i in range(len(keys))])
-    )
+    large = rows.join(ranked, on).withColumn(rank_as, F.col("first_rank") + F.row_number().over(ties) - F.lit(1))
+    columns = [c for c in df.columns if c not in (rank_as, n_as)]
+    return small.select(*columns, n_as, rank_as).unionByName(large.select(*columns, n_as, rank_as))

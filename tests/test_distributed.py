@@ -40,6 +40,26 @@ def test_row_ranks(spark, hot_rows):
             assert got[i] == expected
 
 
+def test_ordinary_groups_are_sorted_once(spark):
+    """No task holds several sorted copies of its rows: without a large group, ranks take one window and no join by segment."""
+    rows = [(i, i % 7 if i % 11 else None, float(i % 13) if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k int, v double")
+    for out, others in ((ranks.value_ranks(df, ["k"], "v"), ["v", "cnt", "first_rank", "n"]), (ranks.row_ranks(df, ["k"], "v", "id"), ["id", "v", "row_rank", "group_rows"])):
+        got = sorted(tuple(r[c] for c in ("k", *others)) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" not in plan and plan.count(" Sort [") == 1
+        groups = {}
+        for i, k, v in rows:
+            if k is not None and v is not None:
+                groups.setdefault(k, []).append((v, i))
+        if "id" in others:
+            want = [(k, i, v, n, len(own)) for k, own in groups.items() for n, (v, i) in enumerate(sorted(own))]
+        else:
+            count = lambda own, v: sum(x == v for x, _ in own)
+            want = {(k, v, count(own, v), sum(x < v for x, _ in own), len(own)) for k, own in groups.items() for v, _ in own}
+        assert got == sorted(want)
+
+
 def test_nearest_within_keeps_pois_off_the_driver(spark, tmp_path):
     """Against brute force, by a plan that broadcasts neither side however small Spark takes the pois to be."""
     rng = random.Random(5)
