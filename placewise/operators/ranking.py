@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions import geo
 from placewise.operators.candidates import SCHEMA
+from placewise.session import settled
 
 # The names of the features, in order, and the source behind each one-hot feature.
 FEATURES = [
@@ -22,6 +23,8 @@ _ONE_HOT = {
     "source_landmark": "LANDMARK", "source_locality": "LOCALITY", "source_pincode": "PINCODE",
 }
 FAR = 999_999.0
+# Rows of one task in a training pass.
+TRAINING_ROWS = 100_000
 
 
 def features(candidates: DataFrame, zero_is_null: bool = True) -> DataFrame:
@@ -148,12 +151,15 @@ def train(frame: DataFrame, validation: str | None = None, trees: int = 200, see
     """Gradient-boosted trees on the 21 features.
 
     With a ``validation`` column boosting stops when the error on its rows falls by
-    less than ``gain``.
+    less than ``gain``. Every pass reads all rows from the cache: they are dealt to tasks of
+    about ``TRAINING_ROWS`` rows, since few bytes of a table hold many of them.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = features(frame).select("label", F.col("f.*"), *([validation] if validation else []))
+    rows = settled(features(frame).select("label", F.col("f.*"), *([validation] if validation else [])))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TRAINING_ROWS))
+    rows = rows.repartition(tasks)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     gbt = GBTClassifier(maxIter=trees, maxDepth=5, stepSize=0.05, seed=seed, minInstancesPerNode=3, featureSubsetStrategy="all")
     if validation:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions import ranks
 from placewise.functions.gazetteer import LANDMARK_TYPES
-from placewise.operators import candidates, fusion, places, proximity, street_model
+from placewise.operators import candidates, fusion, places, proximity, ranking, street_model
 
 
 @pytest.mark.parametrize("hot_rows", [10, 10**9])
@@ -259,3 +259,16 @@ def test_spatial_clusters_against_union_find(spark):
             found.setdefault(place, set()).add(i)
     assert {frozenset(g) for g in found.values()} == expected
     assert got[400] is None
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """One partition of many rows goes to tasks of bounded size."""
+    from pyspark.ml.classification import GBTClassifier
+
+    seen = []
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: seen.append(df))
+    monkeypatch.setattr(ranking, "TRAINING_ROWS", 100)
+    columns = {name: F.lit(default).cast(kind) for name, (kind, default) in candidates.SCHEMA.items()} | {"label": (F.col("id") % 2).cast("double")}
+    ranking.train(spark.range(0, 2000, 1, 1).withColumns(columns))
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and len(sizes) == 20 and max(sizes) <= 200
