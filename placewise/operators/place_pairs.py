@@ -111,13 +111,29 @@ class Blocks:
         most = F.col("base") + F.col("text_weight") + F.when(F.col("near"), F.lit(WEIGHTS["spatial"])).otherwise(0.0)
         return out.filter((F.col("weight") > 0) & (most >= self.threshold * F.col("weight") - 1e-9)).select("ga", "gb", "base", "weight", "near")
 
-    def compared(self, rows: DataFrame) -> DataFrame:
-        """a, b, similarity of ``rows`` (l, r: structs of nodes; base, weight, near) at or above the threshold."""
+    def _away(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with spatial: what the distance gives."""
         far = geo.haversine_m(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
-        spatial = F.when(F.col("near"), F.exp(-far / DECAY_M) * WEIGHTS["spatial"]).otherwise(0.0)
+        return rows.withColumn("spatial", F.when(F.col("near"), F.exp(-far / DECAY_M) * WEIGHTS["spatial"]).otherwise(0.0))
+
+    def certain(self, rows: DataFrame) -> DataFrame:
+        """a, b of ``rows`` that are alike whatever their texts: text only adds to the similarity."""
+        sure = F.round((F.col("base") + F.col("spatial")) / F.col("weight"), 9) >= self.threshold
+        return self._away(rows).filter(sure).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+
+    def compared(self, rows: DataFrame, dealt: bool = False) -> DataFrame:
+        """a, b, similarity of ``rows`` (l, r: structs of nodes; base, weight, near) at or above the threshold.
+
+        ``dealt``: pairs whose texts must be read go over all tasks, whatever their bytes and groups.
+        """
         told = F.col("l.text").isNotNull() & F.col("r.text").isNotNull()
         most = F.col("base") + F.col("spatial") + F.when(told, F.lit(WEIGHTS["text"])).otherwise(0.0)
-        able = rows.withColumn("spatial", spatial).filter(most >= self.threshold * F.col("weight") - 1e-9)
+        able = self._away(rows).filter(most >= self.threshold * F.col("weight") - 1e-9)
+        if dealt:
+            spark = rows.sparkSession
+            tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            # Written out: Spark would push the test of the texts below the shuffle.
+            able = settled(able.repartition(tasks, F.xxhash64("l.node", "r.node")))
         text = F.when(told, fuzzy.token_set_ratio_col(F.coalesce("l.text", F.lit("")), F.coalesce("r.text", F.lit(""))) / 100 * WEIGHTS["text"]).otherwise(0.0)
         value = F.round((F.col("base") + F.col("spatial") + text) / F.col("weight"), 9)
         a, b = F.least("l.node", "r.node"), F.greatest("l.node", "r.node")
@@ -206,12 +222,20 @@ def alike_places(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
     blocks = Blocks(nodes, threshold)
     pairs, members = blocks.pairs, blocks.members
     sure = F.round(F.col("base") / F.col("weight"), 9) >= threshold
-    tops = members.groupBy("group").agg(F.min_by(F.struct(*_NODE), "node").alias("t"))
     both = pairs.select("ga", "gb", "base", "weight", "near").union(pairs.filter("ga <> gb").select("gb", "ga", "base", "weight", "near"))
-    star = both.join(members.select(F.col("group").alias("ga"), F.struct(*_NODE).alias("l")), "ga").join(tops.select(F.col("group").alias("gb"), F.col("t").alias("r")), "gb").filter("l.node <> r.node")
-    known = star.filter(sure).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    edges = settled(known.union(blocks.compared(star.filter(~sure)).select("a", "b")).distinct())
     every = nodes.filter("node = account_id").select("node")
+
+    def star(rows: DataFrame) -> DataFrame:
+        """Each of ``rows`` with the first one of every group that its own group pairs with."""
+        node = F.struct(*_NODE, *[c for c in ("label",) if c in rows.columns])
+        tops = rows.groupBy("group").agg(F.min_by(node, "node").alias("r"))
+        return both.join(rows.select(F.col("group").alias("ga"), node.alias("l")), "ga").join(tops.withColumnRenamed("group", "gb"), "gb").filter("l.node <> r.node")
+
+    # Pairs that are alike without their texts come first; texts are read only between what these leave apart.
+    known = settled(blocks.certain(star(members)).distinct())
+    parts = members.join(connected_components(every, known).withColumnRenamed("root", "label"), "node")
+    open_ = star(settled(parts)).filter("l.label <> r.label")
+    edges = settled(known.union(blocks.compared(open_, dealt=True).select("a", "b")).distinct())
     labels = settled(connected_components(every, edges).withColumnRenamed("root", "label"))
 
     # Groups with more than one label: their members against each other, where the labels differ.
@@ -226,7 +250,7 @@ def alike_places(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
     rest = blocks.met(apart.drop("top"), labelled, odd, "gb").select("base", "weight", "near", "l", "r").union(
         blocks.met(apart, main, labelled, "ga").select("base", "weight", "near", "l", "r")
     )
-    more = blocks.compared(rest.filter("l.label <> r.label")).select("a", "b")
+    more = blocks.compared(rest.filter("l.label <> r.label"), dealt=True).select("a", "b")
     found = connected_components(every, settled(edges.union(more).distinct())).withColumnRenamed("root", "_root")
     whole = nodes.select("account_id", "node", F.coalesce(*KINDS, "text", F.col("lat").cast("string")).isNotNull().alias("_told")).join(found, "node")
     sizes = whole.filter("_told").groupBy("_root").agg(F.count(F.lit(1)).alias("n"))

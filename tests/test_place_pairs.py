@@ -166,3 +166,12 @@ def test_one_account_and_none(spark):
 
 def test_reach_follows_from_the_weights():
     assert 690 < place_pairs.reach_m(0.75) < 700
+
+
+def test_texts_are_not_read_where_the_rest_decides(spark, monkeypatch):
+    """Accounts of one class at one spot are alike whatever their addresses; those are only compared between what is still apart."""
+    same = ("near temple", "rose nagar", "560001", None, "post office road", "3rd cross")
+    rows = [(i, 12.97 + i * 1e-6, 77.59, f"house {i} of lane {i * 7}", *same) for i in range(60)] + [(60, 13.4, 77.1, "far away", "old mill", "hill colony", "560099", None, None, None)]
+    monkeypatch.setattr(place_pairs.fuzzy, "token_set_ratio_col", lambda a, b: F.raise_error(F.concat(a, b)).cast("double"))
+    got = {r.account_id: r.place for r in place_pairs.alike_places(place_pairs.nodes_of(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {**{i: "t0" for i in range(60)}, 60: None}
