@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewise.config import INTEGRITY_PENALTY
 from placewise.functions import geo
+from placewise.session import settled
 
 SAME_COORDINATES = 3
 SPEED_KMH = 80.0
 MIN_DURATION_S = 10
 SIMILAR, IDENTICAL = 0.95, 0.99
-_SIMILAR_REACH_M = 20.0
-_BLOCK_M = 100.0
+_ENDS = ("start_a", "start_b", "end_a", "end_b")
+# Start plus end distance in metres, and the similarity that no pair farther apart exceeds: 1 - reach / 400.
+_REACHES_M = {12.0: 0.97, 20.0: SIMILAR}
 
 
 def coordinate_frequency(visits: DataFrame, a: str, b: str) -> DataFrame:
@@ -42,47 +46,64 @@ def meeting_points(visits: DataFrame, a: str, b: str, ts: str = "checkin_ts", at
 def similar_trajectories(visits: DataFrame, trajectories: DataFrame, crs: str = "projected_xy") -> DataFrame:
     """Per visit: how many of the agent's other visits have the same track, and the best near match.
 
-    Two tracks above the 0.95 similarity differ by under 20 m in start plus end
-    distance, so only tracks whose start and end share a block can match. Equal
-    tracks are collapsed to one row with a count before the join.
+    Two tracks above a similarity differ by a bounded start plus end distance, so tracks meet in
+    cells of twice that reach. Identical ones and matches within the shortest reach come first;
+    only tracks without a near match there search the next reach, so a dense place ends its
+    search early and never pairs everything with everything. Equal tracks are collapsed to one
+    row with a count before the joins.
     """
     if crs != "projected_xy":
         raise ValueError("trajectory blocks need projected metres")
-    tracks = visits.select("visit_id", "agent_id").join(
-        trajectories.select("visit_id", "start_a", "start_b", "end_a", "end_b", "n_points"), "visit_id"
-    )
-    shape = ["agent_id", "start_a", "start_b", "end_a", "end_b", "n_points"]
-    distinct = tracks.groupBy(*shape).agg(F.count(F.lit(1)).alias("copies"))
-    ends = ["start_a", "start_b", "end_a", "end_b"]
-    left = distinct.withColumns({f"_k{i}": geo.cell(c, _BLOCK_M) for i, c in enumerate(ends)})
-    right = distinct.select("agent_id", *[F.col(c).alias(f"o_{c}") for c in (*ends, "n_points", "copies")])
-    for i, c in enumerate(ends):
-        reach = F.array_distinct(
-            F.array(geo.cell(F.col(f"o_{c}") - _SIMILAR_REACH_M, _BLOCK_M), geo.cell(F.col(f"o_{c}") + _SIMILAR_REACH_M, _BLOCK_M))
-        )
-        right = right.withColumn(f"_k{i}", F.explode(reach))
+    tracks = settled(visits.select("visit_id", "agent_id").join(trajectories.select("visit_id", *_ENDS, "n_points"), "visit_id"))
+    shape = ["agent_id", *_ENDS, "n_points"]
+    distinct = settled(tracks.groupBy(*shape).agg(F.count(F.lit(1)).alias("copies")))
+    others = distinct.select("agent_id", *[F.col(c).alias(f"o_{c}") for c in (*_ENDS, "n_points", "copies")])
     gap = geo.euclidean_m("start_a", "start_b", "o_start_a", "o_start_b") + geo.euclidean_m("end_a", "end_b", "o_end_a", "o_end_b")
     length_gap = F.abs(F.col("n_points") - F.col("o_n_points")) / F.greatest("n_points", "o_n_points")
     similarity = (2.0 - F.least(F.lit(1.0), gap / 200) - length_gap) / 2
     same = F.lit(True)
-    for c in (*ends, "n_points"):
+    for c in (*_ENDS, "n_points"):
         same = same & (F.col(c) == F.col(f"o_{c}"))
-    pairs = (
-        left.join(right, ["agent_id", "_k0", "_k1", "_k2", "_k3"])
-        .withColumn("_sim", similarity)
-        .filter(F.col("_sim") > SIMILAR)
-        .groupBy(*shape)
-        .agg(
-            F.sum(F.when(F.col("_sim") > IDENTICAL, F.col("o_copies") - F.when(same, 1).otherwise(0))).alias("identical"),
-            F.max(F.when(F.col("_sim") <= IDENTICAL, F.col("_sim"))).alias("best_similarity"),
-        )
+    found, open_ = [], distinct
+    for reach, least in _REACHES_M.items():
+        found.append(settled(
+            _same_agent_pairs(open_, others, reach)
+            .withColumn("_sim", similarity)
+            .filter(F.col("_sim") > least)
+            .groupBy(*shape)
+            .agg(
+                F.sum(F.when(F.col("_sim") > IDENTICAL, F.col("o_copies") - F.when(same, 1).otherwise(0))).alias("identical"),
+                F.max(F.when(F.col("_sim") <= IDENTICAL, F.col("_sim"))).alias("best_similarity"),
+            )
+        ))
+        open_ = open_.join(found[-1].filter("best_similarity IS NOT NULL"), shape, "left_anti")
+    # A later reach sees the identical ones again and knows no other number of them.
+    best = reduce(DataFrame.unionByName, found).groupBy(*shape).agg(
+        F.max("identical").alias("identical"), F.max("best_similarity").alias("best_similarity")
     )
-    return tracks.join(pairs, shape, "left").select(
+    return tracks.join(best, shape, "left").select(
         "visit_id", F.coalesce("identical", F.lit(0)).alias("identical_trajectories"),
         F.coalesce("best_similarity", F.lit(0.0)).alias("trajectory_similarity"),
     )
 
 
+def _same_agent_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs of an agent's tracks no coordinate of which differs by more than ``reach``, among others; each pair once.
+
+    Each side is copied to the neighbour cells of two of the four coordinates.
+    """
+    side, margin = 2 * reach + 1, reach + 0.001
+    for i, c in enumerate(_ENDS):
+        far = lambda x: F.explode(F.array_distinct(F.array(geo.cell(F.col(x) - margin, side), geo.cell(F.col(x) + margin, side))))
+        own = lambda x: geo.cell(x, side)
+        left = left.withColumn(f"_k{i}", (far if i % 2 else own)(c))
+        right = right.withColumn(f"_k{i}", (own if i % 2 else far)(f"o_{c}"))
+    cell = ["agent_id", *[f"_k{i}" for i in range(len(_ENDS))]]
+    # One number leads the sort of the join: rows of different cells rarely tie on it.
+    left, right = (df.withColumn("_cell", F.xxhash64(*cell)) for df in (left, right))
+    return left.join(right, ["_cell", *cell])
+
+
 def detect(
     visits: DataFrame,
     trajectories: DataFrame,

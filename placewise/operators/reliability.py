@@ -50,7 +50,9 @@ def consistency_score(
         F.count(F.lit(1)).alias("_n"),
         F.collect_list(F.when(F.col("outcome").isin(*config.CANONICAL_SUCCESS), hit)).alias("_hits"),
     )
-    distances = F.array_sort(F.transform("_hits", lambda h: geo.distance_m(crs, F.col(a), F.col(b), h["a"], h["b"])))
+    # Unknown distances sort last. ``sort_array`` compares natively, ``array_sort`` by a lambda for each pair.
+    far = F.lit(float("inf"))
+    distances = F.sort_array(F.transform("_hits", lambda h: F.coalesce(geo.distance_m(crs, F.col(a), F.col(b), h["a"], h["b"]), far)))
     med = F.get("_d", F.floor(F.size("_d") / 2).cast("int"))
     score = (
         F.when(F.coalesce(F.col("_n"), F.lit(0)) <= 1, 0.5)

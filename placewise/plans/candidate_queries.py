@@ -16,7 +16,7 @@ def to_degrees(df, x, y):
 
 def scored_visits(t):
     """Canonical visits in degrees with integrity, reliability and trajectory ratio."""
-    return scored(t.visits, trajectories.summarise(t.gps_points, "projected_xy"))
+    return scored(t.visits, settled(trajectories.summarise(t.gps_points, "projected_xy")))
 
 
 def scored(visits, tracks):

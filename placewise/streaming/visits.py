@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placewise import config
 from placewise.functions.text import remark_correction
 from placewise.operators import compliance, integrity, lookup, places, reliability, trajectories
+from placewise.session import settled
 
 MAX_RETRIES = 5
 
@@ -93,7 +94,7 @@ class ArrivalRefresh:
         if self.points is None:
             return self.spark.createDataFrame([], TRACKS)
         own = self.points.join(visits.select("visit_id").distinct(), "visit_id", "left_semi")
-        return trajectories.summarise(own, "projected_xy")
+        return settled(trajectories.summarise(own, "projected_xy"))
 
     def _earlier(self, name: str, batch_id: int) -> DataFrame | None:
         path = f"{self.root}/{name}"
@@ -115,8 +116,10 @@ class ArrivalRefresh:
             of_accounts = seen.join(batch.select("account_id").distinct(), "account_id", "left_semi")
             of_agents = seen.join(batch.select("agent_id").distinct(), "agent_id", "left_semi")
             history = lookup.newest_visits(of_accounts, "account_id")
-            trust = reliability.score(batch, self._tracks(batch), history, "projected_xy").select("visit_id", "reliability")
-            honest = integrity.detect(of_agents, self._tracks(of_agents)).select("visit_id", F.col("integrity").alias("integrity_score"), "risk_level")
+            # The agents' visits include the batch itself: its tracks are summed up once for both scores.
+            tracks = self._tracks(of_agents)
+            trust = reliability.score(batch, tracks, history, "projected_xy").select("visit_id", "reliability")
+            honest = integrity.detect(of_agents, tracks).select("visit_id", F.col("integrity").alias("integrity_score"), "risk_level")
             scored = batch.join(trust, "visit_id").join(honest, "visit_id")
             self._write(scored, "scores", batch_id)
             hits = of_accounts.filter(F.col("outcome").isin(*config.CANONICAL_SUCCESS)).select(

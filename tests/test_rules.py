@@ -1,11 +1,13 @@
 """Scores, contact rules, sources and streams on small exact cases."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from placewise.operators import calibration, compliance, metrics, places
+from placewise.operators import calibration, compliance, integrity, metrics, places
 from placewise.plans import registry
 from placewise.sources import tables
 from placewise.sources.views import required_views
@@ -91,3 +93,42 @@ def test_read_split(spark, tmp_path):
 def test_malformed_json_is_null(spark):
     df = spark.createDataFrame([('{"k": 3}',), ("{bad",), (None,)], "j string")
     assert [r[0] for r in df.select(tables.decode_json("j", "k long")["k"]).collect()] == [3, None, None]
+
+
+def _tracks(seed, n, spread):
+    """Visits of two agents with tracks in a few dense knots and between them; some share a track, some lengths differ by a little."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        sx, sy, ex, ey = (rng.choice([-300.0, 0.0, 41.0]) + rng.uniform(-spread, spread) for _ in range(4))
+        rows.append((i, f"A{i % 2}", *(rows[-2][2:6] if i > 2 and rng.random() < 0.1 else (sx, sy, ex, ey)), rng.choice([500, 500, 500, 501, 5])))
+    return rows
+
+
+def _similar_by_pairs(rows):
+    out = {}
+    for v, agent, *t, n in rows:
+        sims = [
+            (2.0 - min(1.0, (math.hypot(t[0] - o[0], t[1] - o[1]) + math.hypot(t[2] - o[2], t[3] - o[3])) / 200) - abs(n - m) / max(n, m)) / 2
+            for w, other, *o, m in rows if other == agent and w != v
+        ]
+        out[v] = (sum(x > 0.99 for x in sims), round(max([x for x in sims if 0.95 < x <= 0.99], default=0.0), 9))
+    return out
+
+
+@pytest.mark.parametrize("seed,spread", [(1, 3.0), (2, 12.0), (3, 40.0)])
+def test_similar_trajectories_equal_all_pairs(spark, seed, spread):
+    rows = _tracks(seed, 160, spread)
+    schema = "visit_id long, agent_id string, start_a double, start_b double, end_a double, end_b double, n_points long"
+    df = spark.createDataFrame(rows, schema)
+    got = integrity.similar_trajectories(df.select("visit_id", "agent_id"), df.drop("agent_id"))
+    assert {r.visit_id: (r.identical_trajectories, round(r.trajectory_similarity, 9)) for r in got.collect()} == _similar_by_pairs(rows)
+
+
+def test_dense_tracks_meet_few_others(spark):
+    """A street of tracks 3 m apart: each meets those within reach, not all of its 100 m block."""
+    rows = [(i, "A", 3.0 * (i % 40), 3.0 * (i // 40), 3.0 * (i % 40), 3.0 * (i // 40)) for i in range(1600)]
+    left = spark.createDataFrame(rows, "visit_id long, agent_id string, start_a double, start_b double, end_a double, end_b double")
+    right = left.select("agent_id", *[F.col(c).alias(f"o_{c}") for c in left.columns[2:]])
+    reach = min(integrity._REACHES_M)
+    assert integrity._same_agent_pairs(left, right, reach).count() < 1600 * (4 * reach / 3 + 2) ** 2
