@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from placewise.functions import sha256
+from placewise.session import ensure_checkpoint_dir
+
 # Id column(s) and schema of each split table (fixed values).
 SPLIT_TABLES = {
     "towns": (["town_id"], "town_id string, town_name string, address_style string, approx_radius_m double"),
@@ -73,12 +77,45 @@ def require_inputs(spark: SparkSession, root: str, split: str, tables: Sequence[
         raise FileNotFoundError("missing evaluation inputs: " + ", ".join(missing))
 
 
+# Larger files are hashed block by block, each block in a task of its own.
+BLOCK_BYTES = 512 << 20
+
+
 def fingerprints(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
-    """path, sha256, length of each file; one task per file."""
+    """path, sha256, length of each file; one task per file, or per block of a large file."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(list(paths)).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    files = reader.load(list(paths))
+    whole = files.filter(F.col("length") <= BLOCK_BYTES).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    large = files.filter(F.col("length") > BLOCK_BYTES).select("path", "length").collect()
+    chained = [(r.path, _hash_of_blocks(spark, r.path, r.length), r.length) for r in large]
+    return whole.unionByName(spark.createDataFrame(chained, "path string, sha256 string, length long")) if chained else whole
+
+
+def _hash_of_blocks(spark: SparkSession, path: str, length: int) -> str:
+    """SHA-256 of one large file: its blocks are hashed in turn, each going on from the state of the one before.
+
+    The text reader cuts a file of any size into splits and returns the bytes between line feeds
+    unchanged; they are written once, by block, so that a task reads its own block only.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("line")
+    )
+    folder = f"{ensure_checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    lines.withColumn("block", F.floor(F.col("start") / BLOCK_BYTES)).write.partitionBy("block").parquet(folder)
+    state, done = sha256.start(), 0
+    for block in range(-(-length // BLOCK_BYTES)):
+        if not _exists(spark, f"{folder}/block={block}"):  # Inside one line.
+            continue
+        part = spark.read.parquet(f"{folder}/block={block}").repartition(1).sortWithinPartitions("start", "row")
+        row = part.select("line").mapInArrow(sha256.going_on(state, done), "state binary, done long").first()
+        state, done = bytes(row.state), row.done
+    if done < length:  # The last line feed ends the file.
+        state, done = sha256.update(state, b"\n"), done + 1
+    if done != length:
+        raise ValueError(f"{path}: {done} of {length} bytes read")
+    return sha256.finish(state)
 
 
 def append_predictions(predictions: DataFrame, path: str, ts: str = "ts") -> None:

@@ -1,6 +1,7 @@
 """Scores, contact rules, sources and streams on small exact cases."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -132,3 +133,19 @@ def test_dense_tracks_meet_few_others(spark):
     right = left.select("agent_id", *[F.col(c).alias(f"o_{c}") for c in left.columns[2:]])
     reach = min(integrity._REACHES_M)
     assert integrity._same_agent_pairs(left, right, reach).count() < 1600 * (4 * reach / 3 + 2) ** 2
+
+
+def test_large_files_are_hashed_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "BLOCK_BYTES", 16_384)
+    rng = random.Random(5)
+    noise = rng.randbytes(40_000)
+    texts = {"a": b"\n" + noise, "b": noise + b"\n\n", "c": b"\n\n\r\n" * 9000, "d": b"\0" * 30_000, "e": noise[:100]}
+    for name, data in texts.items():
+        (tmp_path / f"{name}.bin").write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    try:
+        got = {r.path[-5]: (r.sha256, r.length) for r in tables.fingerprints(spark, str(tmp_path), glob="*.bin").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {name: (hashlib.sha256(data).hexdigest(), len(data)) for name, data in texts.items()}
