@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions.lexicon import ABBREVIATION_RULES, REMARK_PATTERN, SCRIPT_RANGES
 
-_ALNUM = "[a-zA-Z0-9ऀ-ൿ]"
+_ALNUM = "a-zA-Z0-9ऀ-ൿ"
 
 
 def _c(value) -> Column:
@@ -41,11 +41,22 @@ def _rule_key(pattern: str) -> str:
     return letters[:-1] if optional else letters
 
 
+def _letters_first(pattern: str) -> str:
+    """The same rule, but its letters are looked for before the word boundary, which is slow to test at every place."""
+    key = _rule_key(pattern)
+    return f"(?U){key}(?<=\\b{key}){pattern.removeprefix(rf'\b{key}')}"
+
+
+def _count(text: Column, letters: str) -> Column:
+    """How many characters of a class a text has; nothing is listed."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{letters}]+", ""))
+
+
 def expand_abbreviations(text) -> Column:
     """Ordered rewrites of lower-cased text. A rule's regex only runs on text that holds its letters."""
     rules = F.array(
         *[
-            F.struct(F.lit(_rule_key(p)).alias("key"), F.lit(f"(?U){p}").alias("pattern"), F.lit(r).alias("to"))
+            F.struct(F.lit(_rule_key(p)).alias("key"), F.lit(_letters_first(p)).alias("pattern"), F.lit(r).alias("to"))
             for p, r in ABBREVIATION_RULES
         ]
     )
@@ -74,8 +85,8 @@ def normalize_whitespace(text) -> Column:
 
 def detect_language(text) -> Column:
     """Language of the script with most characters; the listed order breaks ties; null without letters."""
-    counts = [(lang, F.regexp_count(_c(text), F.lit(f"[{a}-{b}]"))) for lang, a, b in SCRIPT_RANGES]
-    counts.append(("en", F.regexp_count(_c(text), F.lit("[a-zA-Z]"))))
+    counts = [(lang, _count(_c(text), f"{a}-{b}")) for lang, a, b in SCRIPT_RANGES]
+    counts.append(("en", _count(_c(text), "a-zA-Z")))
     most = F.greatest(*[n for _, n in counts])
     out = F.when(most == 0, F.lit(None).cast("string"))
     for lang, n in counts:
@@ -89,8 +100,8 @@ def extract_pincode(text) -> Column:
 
 def normalization_confidence(raw, normalized) -> Column:
     r, n = _c(raw), _c(normalized)
-    kept_of = F.regexp_count(r, F.lit(_ALNUM))
-    kept = F.regexp_count(n, F.lit(_ALNUM))
+    kept_of = _count(r, _ALNUM)
+    kept = _count(n, _ALNUM)
     bonus = F.when(F.length(n) > F.length(r) * 0.8, 0.1).otherwise(0.0)
     value = F.least(F.lit(1.0), F.least(F.lit(1.0), kept / F.greatest(kept_of, F.lit(1))) + bonus)
     return F.when(F.length(r) == 0, 0.0).when(kept_of == 0, 0.5).otherwise(value)

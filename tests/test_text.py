@@ -252,3 +252,13 @@ def test_every_relation_word_passes_the_guard(spark):
     df = spark.createDataFrame([(i, f"a {w} b") for i, w in enumerate(ways)], "id int, t string")
     got = {r.id: r.rels for r in df.select("id", entities.relations(F.col("t")).alias("rels")).collect()}
     assert all(any(x.relation in w or w in x.relation for x in got[i]) for i, w in enumerate(ways)) and len(ways) > 40
+
+
+def test_rules_look_for_their_letters_first(spark):
+    """The reordered rule finds what the rule finds, also beside letters of other scripts."""
+    words = ["no", "no.", "xno", "éno no", "nono no.5", "apts. apt", "crs cr xr xrd.", "ke peech ke  peeche", "कno no", "post office postoffice", "sec_ sec-5", "bus stop"]
+    df = spark.createDataFrame([(" ".join(words),), *[(w,) for w in words]], "t string")
+    for pattern, to in lexicon.ABBREVIATION_RULES:
+        first = text._letters_first(pattern)
+        assert not first.startswith(r"(?U)\b")
+        assert df.filter(F.regexp_replace("t", f"(?U){pattern}", to) != F.regexp_replace("t", first, to)).isEmpty()
