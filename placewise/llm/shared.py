@@ -43,6 +43,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table and read back: Spark takes its size from the files.
+
+    What ``settled`` returns keeps the estimate of its plan, and a join's is the product of its sides'. In a loop
+    that joins what it has made the digits of that number double each time, until the driver holds nothing else.
+    """
+    folder = new_folder(df.sparkSession, "stored")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def crc_of(column: str) -> F.Column:
     """crc32 of a number's decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -145,20 +156,20 @@ def components(edges: DataFrame) -> DataFrame:
     vanish. Only key columns travel; joins on a hub's key are plain joins that
     adaptive execution splits, and minima are combined before the shuffle.
     """
-    graph = settled(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = settled(graph.select(F.col("a").alias("node")).union(graph.select("b")).distinct().withColumn("root", F.col("node")))
+    graph = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = stored(graph.select(F.col("a").alias("node")).union(graph.select("b")).distinct().withColumn("root", F.col("node")))
     while not graph.isEmpty():
         both = graph.union(graph.select("b", "a"))
-        parent = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
+        parent = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
         while True:
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = settled(parent.join(above, "up").select("node", "up", "top"))
+            jumped = stored(parent.join(above, "up").select("node", "up", "top"))
             parent = jumped.select("node", F.col("top").alias("up"))
             if jumped.filter("up <> top").isEmpty():
                 break
         ends = parent.select(F.col("node").alias("root"), "up")
-        labels = settled(labels.join(ends, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        labels = stored(labels.join(ends, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         one = graph.join(parent.select(F.col("node").alias("a"), F.col("up").alias("c")), "a").select("b", "c")
         two = one.join(parent.select(F.col("node").alias("b"), F.col("up").alias("d")), "b").select("c", "d")
-        graph = settled(two.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
+        graph = stored(two.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
     return labels

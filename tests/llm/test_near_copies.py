@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from placewise.llm import near_copies, simhash
+from placewise.llm.shared import components
 
 
 def _sets(rows):
@@ -136,5 +137,13 @@ def test_stage_checks_what_simhash_proposes(spark, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
 
 
+def test_rounds_of_components_keep_their_estimates_small(spark):
+    """Spark's estimate of a join is the product of its sides; carried from round to round it filled the driver."""
+    n = 300
+    labels = components(spark.createDataFrame([(i * 37 % n, (i + 1) * 37 % n) for i in range(n - 1)], "a long, b long"))
+    assert {(r.node, r.root) for r in labels.collect()} == {(i, 0) for i in range(n)}
+    assert int(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 20
+
+
 def test_no_rows(spark):
     assert near_copies.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
