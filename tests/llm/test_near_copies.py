@@ -137,6 +137,19 @@ def test_stage_checks_what_simhash_proposes(spark, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
 
 
+def test_stage_checks_all_pairs_of_a_simhash_class(spark, monkeypatch):
+    """Two alike texts whose fingerprints are chained through that of an unlike one: the chain's links fail, the pair does not."""
+    base, far = [f"w{k}" for k in range(400)], [f"v{k}" for k in range(400)]
+    rows = [(0, " ".join(far)), (1, " ".join(base)), (2, " ".join([*base[:399], "x"])), (3, " ".join(far[::-1])), (4, " ".join([*far[:0:-1], "x"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Fingerprint 0 is the chain's end for 1 and 3; 3 and 4 share theirs with an unlike text of the class.
+    table = spark.createDataFrame([(0, 0), (1, 1), (2, 3), (3, 0), (4, 0)], "doc_id long, fp long")
+    own = lambda docs, shingle=4: docs.join(table, "doc_id").select("doc_id", F.xxhash64("text").alias("place"), "fp")
+    monkeypatch.setattr(simhash, "fingerprints", own)
+    monkeypatch.setattr(near_copies, "links", lambda docs, each, shingle: docs.sparkSession.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 1, 3]
+
+
 def test_rounds_of_components_keep_their_estimates_small(spark):
     """Spark's estimate of a join is the product of its sides; carried from round to round it filled the driver."""
     n = 300
