@@ -123,11 +123,33 @@ _WORDS_AT_ONCE = 2048
 
 def token_sets_reach(a: list[str], b: list[str], least: np.ndarray) -> np.ndarray:
     """Which pairs of the texts ``a`` and ``b`` have a ``token_set_ratio_col`` of ``least`` (one value a pair) or more."""
+    known, most, _, rest = _set_bounds(a, b, least.shape)
+    reached = known >= least
+    i, j = np.nonzero(~reached & (most >= least - 1e-9))
+    if len(i):
+        reached[i, j] = rest(i, j) >= least[i, j]
+    return reached
+
+
+def token_set_ratios(a: list[str], b: list[str], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, ``token_set_ratio_col`` of the pairs of the texts ``a`` and ``b`` that reach ``least`` (one value a pair)."""
+    known, most, fixed, rest = _set_bounds(a, b, least.shape)
+    i, j = np.nonzero(most >= least - 1e-9)
+    ratio = known[i, j]
+    more = np.nonzero(~fixed[i, j])[0]
+    if len(more):
+        ratio[more] = np.maximum(ratio[more], rest(i[more], j[more]))
+    reached = ratio >= least[i, j]
+    return i[reached], j[reached], ratio[reached]
+
+
+def _set_bounds(a: list[str], b: list[str], shape: tuple[int, int]):
+    """For all pairs: the least and the most that their ratio can be, which of them are settled by that, and what common letters in order give given pairs."""
     sets = [[frozenset(w for w in _WORD_GAP.split(t) if w) for t in side] for side in (a, b)]
     number = {w: i for i, w in enumerate(sorted(set().union(*sets[0]) & set().union(*sets[1])))}
     letters = np.array([len(w) for w in number], dtype=np.float32)
     at = [np.array([(i, number[w]) for i, s in enumerate(side) for w in s if w in number], dtype=np.int64).reshape(-1, 2) for side in sets]
-    both, chars, *marks = (np.zeros(least.shape) for _ in range(4))
+    both, chars, *marks = (np.zeros(shape) for _ in range(4))
     # Whole numbers below 2 ** 53 in all sums: two independent ones tell sets of common words apart.
     drawn = [np.random.default_rng(seed).integers(1, 2**top, len(number)).astype(np.float64) for seed, top in ((1, 40), (2, 31))]
     for low in range(0, len(number), _WORDS_AT_ONCE):
@@ -155,20 +177,21 @@ def token_sets_reach(a: list[str], b: list[str], least: np.ndarray) -> np.ndarra
     # Without a common letter, and with as many as the shorter rest has.
     known = np.where(gap, np.maximum(np.maximum(with_a, with_b), 100 - 100 * (la + lb) / span), 0)
     most = np.maximum(known, 100 - 100 * np.abs(la - lb) / span)
-    known[gap & ((la == 0) | (lb == 0))] = 100
+    subset = gap & ((la == 0) | (lb == 0))
+    known[subset] = most[subset] = 100
     void = (count[0] == 0)[:, None] | (count[1] == 0)
     known[void] = most[void] = 0
-    reached = known >= least
-    i, j = np.nonzero(~reached & (most >= least - 1e-9))
-    if len(i):
+
+    def rest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         # What is left over of a text follows from its common words with the other: equal sets share their sums.
         first, one = _distinct(i, marks[0][i, j], marks[1][i, j])
         lefts = [" ".join(sorted(sets[0][i[k]] - sets[1][j[k]])) for k in first]
         first, two = _distinct(j, marks[0][i, j], marks[1][i, j])
         rights = [" ".join(sorted(sets[1][j[k]] - sets[0][i[k]])) for k in first]
         common = lcs_lengths(lefts, rights, one, two)
-        reached[i, j] = 100 - 100 * (la[i, j] + lb[i, j] - 2 * common) / span[i, j] >= least[i, j]
-    return reached
+        return 100 - 100 * (la[i, j] + lb[i, j] - 2 * common) / span[i, j]
+
+    return known, most, subset | void, rest
 
 
 @lru_cache(maxsize=1)

@@ -2,8 +2,9 @@
 
 The similarity is the weighted mean of ``place_features``. Two located accounts can only reach
 the threshold within a distance that follows from the weights: they meet in a grid of that
-reach. Other pairs meet if they share a pincode, a locality or a landmark, under the first of
-these that they share. So each pair is made once.
+reach. With ``every`` all other pairs of classes are judged by their signals; without it those
+meet that share a pincode, a locality or a landmark, under the first of these that they share.
+So each pair is made once.
 
 Accounts fall into classes of equal landmark, locality, pincode, building, street and cross.
 Pairs of classes (located ones: of classes in a cell) are bounded first: what the text and the
@@ -63,7 +64,7 @@ def _cells(lat: Column, lon: Column, side: float) -> list[Column]:
 class Blocks:
     """Members of groups (classes, and located classes by cell) and the pairs of groups that may hold a pair at the threshold."""
 
-    def __init__(self, nodes: DataFrame, threshold: float):
+    def __init__(self, nodes: DataFrame, threshold: float, every: bool = False):
         self.threshold = threshold
         side = reach_m(threshold) * 1.001
         if math.isinf(side):
@@ -79,24 +80,41 @@ class Blocks:
         by_class = placed.select(F.concat(F.lit("k"), F.col("cls")).alias("group"), "cls", *_NODE, *[F.lit(None).cast("long").alias(c) for c in ("cx", "cy", "cz")])
         by_cell = placed.filter("lat is not null").select(F.concat_ws(":", F.lit("c"), "cls", "cx", "cy", "cz").alias("group"), "cls", *_NODE, "cx", "cy", "cz")
         self.members = settled(by_class.union(by_cell))
-        self.pairs = settled(self._pairs())
-
-    def _pairs(self) -> DataFrame:
-        """ga, gb, base, weight, near: what the signals of the classes give and weigh, and whether a distance counts."""
+        self.pairs = settled(self._pairs(self._able() if every else self._sharing()))
+
+    def _able(self) -> DataFrame:
+        """Pairs of classes without a distance that can be alike if every text and name in common is equal, dealt over the squares of all tasks."""
+        tasks = self.classes.sparkSession.sparkContext.defaultParallelism
+        dealt = settled(self.classes.repartition(tasks, "cls"))
+        l, r = dealt.alias("l"), dealt.alias("r")  # noqa: E741
+        both = {k: F.col(f"l.{k}").isNotNull() & F.col(f"r.{k}").isNotNull() for k in KINDS} | {"text": F.col("l.told") & F.col("r.told")}
+        able = {k: has & (F.col(f"l.{k}") == F.col(f"r.{k}")) if k in ("pincode", "cross") else has for k, has in both.items()}
+        weight, most = (sum(F.when(has, F.lit(WEIGHTS[k])).otherwise(0.0) for k, has in each.items()) for each in (both, able))
+        met = (F.col("l.cls") <= F.col("r.cls")) & ~(F.col("l.located") & F.col("r.located")) & (weight > 0) & (most >= self.threshold * weight - 1e-9)
+        return self._unplaced(l.join(r, met))
+
+    def _unplaced(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"), F.concat(F.lit("k"), F.col("l.cls")).alias("ga"), F.concat(F.lit("k"), F.col("r.cls")).alias("gb"), F.lit(False).alias("near"))
+
+    def _sharing(self) -> DataFrame:
+        """Pairs of classes without a distance that share a pincode, a locality or a landmark."""
         keyed = self.classes.select("cls", "located", *[F.lower(c).alias(f"_{c}") for c in ("locality", "landmark")], F.col("pincode").alias("_pincode"), F.explode(F.array(
             *[F.struct(F.lit(c).alias("kind"), (F.lower(c) if c != "pincode" else F.col(c)).alias("key")) for c in ("pincode", "locality", "landmark")]
         )).alias("k")).select("*", "k.*").drop("k").filter("key is not null")
         l, r = keyed.alias("l"), keyed.alias("r")  # noqa: E741
         same = lambda c: F.coalesce(F.col(f"l._{c}") == F.col(f"r._{c}"), F.lit(False))
         kind = F.when(same("pincode"), "pincode").when(same("locality"), "locality").otherwise("landmark")
-        shared = l.join(r, [F.col("l.kind") == F.col("r.kind"), F.col("l.key") == F.col("r.key")]).filter(
+        return self._unplaced(l.join(r, [F.col("l.kind") == F.col("r.kind"), F.col("l.key") == F.col("r.key")]).filter(
             (F.col("l.cls") <= F.col("r.cls")) & ~(F.col("l.located") & F.col("r.located")) & (F.col("l.kind") == kind)
-        ).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"), F.concat(F.lit("k"), F.col("l.cls")).alias("ga"), F.concat(F.lit("k"), F.col("r.cls")).alias("gb"), F.lit(False).alias("near"))
+        ))
+
+    def _pairs(self, unplaced: DataFrame) -> DataFrame:
+        """ga, gb, base, weight, near: what the signals of the classes give and weigh, and whether a distance counts; ``unplaced``: pairs without one."""
         units = self.members.filter("cx is not null").select("group", "cls", "cx", "cy", "cz").distinct()
         steps = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]))
         moved = units.withColumn("s", steps).select(F.col("group").alias("ga"), F.col("cls").alias("a"), (F.col("cx") + F.col("s.x")).alias("cx"), (F.col("cy") + F.col("s.y")).alias("cy"), (F.col("cz") + F.col("s.z")).alias("cz"))
         meeting = moved.join(units.select(F.col("group").alias("gb"), F.col("cls").alias("b"), "cx", "cy", "cz"), ["cx", "cy", "cz"]).filter("ga <= gb")
-        every = settled(shared.unionByName(meeting.select("a", "b", "ga", "gb", F.lit(True).alias("near"))))
+        every = settled(unplaced.unionByName(meeting.select("a", "b", "ga", "gb", F.lit(True).alias("near"))))
         # Equal pairs of classes are judged once, whatever the number of their cells.
         judged = every.select("a", "b").distinct()
         for mark, key in (("l_", "a"), ("r_", "b")):
@@ -111,6 +129,16 @@ class Blocks:
         most = F.col("base") + F.col("text_weight") + F.when(F.col("near"), F.lit(WEIGHTS["spatial"])).otherwise(0.0)
         return out.filter((F.col("weight") > 0) & (most >= self.threshold * F.col("weight") - 1e-9)).select("ga", "gb", "base", "weight", "near")
 
+    def tiles(self, pairs: DataFrame) -> DataFrame:
+        """ga, gb, sa, sb, base, weight, near, side, group, slice and node: the members (side 0 and 1) of two slices of each of ``pairs`` of groups."""
+        cut = settled(self.members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE_ROWS)).cast("int").alias("slices")))
+        dealt = settled(self.members.join(cut, "group").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).select("group", "slice", *_NODE))
+        parts = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        tiles = pairs.join(cut.toDF("ga", "na"), "ga").join(cut.toDF("gb", "nb"), "gb").withColumn("sa", parts("na")).withColumn("sb", parts("nb"))
+        tiles = settled(tiles.filter((F.col("ga") != F.col("gb")) | (F.col("sa") <= F.col("sb"))).select("ga", "gb", "sa", "sb", "base", "weight", "near"))
+        side = lambda i, g, s: tiles.select("*", F.lit(i).alias("side"), F.col(g).alias("group"), F.col(s).alias("slice")).join(dealt, ["group", "slice"])
+        return side(0, "ga", "sa").unionByName(side(1, "gb", "sb"))
+
     def _away(self, rows: DataFrame) -> DataFrame:
         """``rows`` with spatial: what the distance gives."""
         far = geo.haversine_m(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
@@ -156,11 +184,48 @@ class Blocks:
         return left.join(right, keys)
 
 
-def alike_pairs(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """account_id, other_id, similarity of the pairs of ``nodes_of`` rows (one account for equal ones) at or above ``threshold``."""
-    blocks = Blocks(nodes, threshold)
-    rows = blocks.met(blocks.pairs, blocks.members, blocks.members, "ga").filter((F.col("ga") != F.col("gb")) | (F.col("l.node") < F.col("r.node")))
-    return blocks.compared(rows).select(F.col("a").alias("account_id"), F.col("b").alias("other_id"), "similarity")
+def alike_pairs(nodes: DataFrame, threshold: float = 0.75, every: bool = False) -> DataFrame:
+    """account_id, other_id, similarity of the pairs of ``nodes_of`` rows (one account for equal ones) at or above ``threshold``.
+
+    Groups are compared slice by slice; only pairs that reach the threshold leave a task.
+    """
+    blocks = Blocks(nodes, threshold, every)
+    found = blocks.tiles(blocks.pairs).groupBy("ga", "gb", "sa", "sb").applyInPandas(_tile_pairs(threshold), "account_id long, other_id long, similarity double")
+    return found.withColumn("similarity", F.round("similarity", 9)).filter(F.col("similarity") >= threshold)
+
+
+def _tile(rows: pd.DataFrame, threshold: float) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The two sides, which of their pairs the tile holds, what the distance gives each pair, and what it lacks besides.
+
+    Half a unit of the ninth place: the similarity is rounded there.
+    """
+    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    base, weight, near = (left[c].iloc[0] for c in ("base", "weight", "near"))
+    shape = len(left), len(right)
+    spatial = WEIGHTS["spatial"] * np.exp(-geo.distances_m(left["lat"], left["lon"], right["lat"], right["lon"]) / DECAY_M) if near else np.zeros(shape)
+    own = np.ones(shape, bool)
+    if left["group"].iloc[0] == right["group"].iloc[0] and left["slice"].iloc[0] == right["slice"].iloc[0]:
+        own = left["node"].to_numpy()[:, None] < right["node"].to_numpy()
+    return left, right, own, spatial, (threshold - 5e-10) * weight - base - spatial
+
+
+def _tile_pairs(threshold: float):
+    """The pairs of nodes of two slices that reach the threshold, with their similarity before it is rounded."""
+
+    def list_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right, own, spatial, lacking = _tile(rows, threshold)
+        base, weight = (left[c].iloc[0] for c in ("base", "weight"))
+        if left["text"].notna().all() and right["text"].notna().all():
+            # A hair less: whoever rounds the similarity decides.
+            i, j, ratio = fuzzy.token_set_ratios(left["text"].tolist(), right["text"].tolist(), np.where(own, lacking * (100 / WEIGHTS["text"]) - 1e-7, np.inf))
+        else:
+            i, j = np.nonzero(own & (lacking <= 1e-9))
+            ratio = np.zeros(len(i))
+        one, two = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
+        value = (base + spatial[i, j] + ratio / 100 * WEIGHTS["text"]) / weight
+        return pd.DataFrame({"account_id": np.minimum(one, two), "other_id": np.maximum(one, two), "similarity": value})
+
+    return list_pairs
 
 
 def _tile_links(threshold: float):
@@ -171,32 +236,26 @@ def _tile_links(threshold: float):
     """
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        base, weight, near = (left[c].iloc[0] for c in ("base", "weight", "near"))
+        left, right, own, _, lacking = _tile(rows, threshold)
         one, two = left["node"].to_numpy(), right["node"].to_numpy()
-        # Half a unit of the ninth place: the similarity is rounded there.
-        lacking = np.full((len(one), len(two)), (threshold - 5e-10) * weight - base)
-        if near:
-            lacking -= WEIGHTS["spatial"] * np.exp(-geo.distances_m(left["lat"], left["lon"], right["lat"], right["lon"]) / DECAY_M)
         hits = lacking <= 0
         if left["text"].notna().all() and right["text"].notna().all():
             hits = fuzzy.token_sets_reach(left["text"].tolist(), right["text"].tolist(), lacking * (100 / WEIGHTS["text"]))
-        if left["group"].iloc[0] == right["group"].iloc[0]:
-            hits &= (one[:, None] < two) if left["slice"].iloc[0] == right["slice"].iloc[0] else True
+        hits &= own
         out = pd.DataFrame({"node": np.concatenate([one, two]), "links": np.concatenate([hits.sum(1), hits.sum(0)])})
         return out[out["links"] > 0]
 
     return count
 
 
-def links(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
+def links(nodes: DataFrame, threshold: float = 0.75, every: bool = False) -> DataFrame:
     """account_id, node, n_links of ``nodes_of`` rows: how many other nodes the account's node is alike at or above ``threshold``.
 
     Certain pairs of groups are counted by their sizes; open ones are compared slice by slice, and only
     counts leave a task.
     """
     nodes = settled(nodes)
-    blocks = Blocks(nodes, threshold)
+    blocks = Blocks(nodes, threshold, every)
     sure = F.round(F.col("base") / F.col("weight"), 9) >= threshold
     sizes = blocks.members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     whole = blocks.pairs.filter(sure).select("ga", "gb")
@@ -204,22 +263,16 @@ def links(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
     certain = both.join(sizes.toDF("other", "n"), "other").groupBy("group").agg(F.sum(F.col("n") - (F.col("group") == F.col("other")).cast("long")).alias("links"))
     certain = blocks.members.join(certain, "group").select("node", "links")
 
-    cut = settled(sizes.select("group", F.ceil(F.col("n") / F.lit(SLICE_ROWS)).cast("int").alias("slices")))
-    dealt = settled(blocks.members.join(cut, "group").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).select("group", "slice", *_NODE))
-    parts = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    tiles = blocks.pairs.filter(~sure).join(cut.toDF("ga", "na"), "ga").join(cut.toDF("gb", "nb"), "gb").withColumn("sa", parts("na")).withColumn("sb", parts("nb"))
-    tiles = settled(tiles.filter((F.col("ga") != F.col("gb")) | (F.col("sa") <= F.col("sb"))).select("ga", "gb", "sa", "sb", "base", "weight", "near"))
-    side = lambda i, g, s: tiles.select("*", F.lit(i).alias("side"), F.col(g).alias("group"), F.col(s).alias("slice")).join(dealt, ["group", "slice"])
-    met = side(0, "ga", "sa").unionByName(side(1, "gb", "sb"))
+    met = blocks.tiles(blocks.pairs.filter(~sure))
     counted = met.groupBy("ga", "gb", "sa", "sb").applyInPandas(_tile_links(threshold), "node long, links long")
     total = certain.unionByName(counted).groupBy("node").agg(F.sum("links").alias("n_links"))
     return nodes.select("account_id", "node").join(total, "node", "left").select("account_id", "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def alike_places(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
+def alike_places(nodes: DataFrame, threshold: float = 0.75, every: bool = False) -> DataFrame:
     """account_id, place of each account: density clusters of two or more by similarity; other accounts have none (an only account is its own)."""
     nodes = settled(nodes)
-    blocks = Blocks(nodes, threshold)
+    blocks = Blocks(nodes, threshold, every)
     pairs, members = blocks.pairs, blocks.members
     sure = F.round(F.col("base") / F.col("weight"), 9) >= threshold
     both = pairs.select("ga", "gb", "base", "weight", "near").union(pairs.filter("ga <> gb").select("gb", "ga", "base", "weight", "near"))

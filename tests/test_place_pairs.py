@@ -144,6 +144,59 @@ def test_links_against_all_pairs(spark, seed, hot, monkeypatch):
     assert sum(want.values()) > 100
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_pairs_that_share_no_block(spark, seed, monkeypatch):
+    """Unlike pincodes, localities and landmarks: what else is alike may reach the threshold."""
+    monkeypatch.setattr(place_pairs, "SLICE_ROWS", 16)
+    rows = _accounts(seed)
+    nodes = place_pairs.nodes_of(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    node = {r.account_id: r.node for r in nodes.collect()}
+    every = {(q[0], p[0]): _likeness(p, q) for i, p in enumerate(rows) for q in rows[:i] if node[p[0]] == p[0] and node[q[0]] == q[0]}
+    want = {k: v for k, v in every.items() if v >= 0.75}
+    assert sum(not _meets(rows[a], rows[b]) for a, b in want) > 20
+    got = {(r.account_id, r.other_id): r.similarity for r in place_pairs.alike_pairs(nodes, every=True).collect()}
+    assert got == pytest.approx(want, abs=1e-8)
+    counts = dict.fromkeys(node.values(), 0)
+    for pair in want:
+        for i in pair:
+            counts[i] += 1
+    assert {r.account_id: r.n_links for r in place_pairs.links(nodes, every=True).collect()} == {i: counts[n] for i, n in node.items()}
+    top = {i: i for i in counts}
+    while any(top[a] != top[b] for a, b in want):
+        for a, b in want:
+            top[a] = top[b] = min(top[a], top[b])
+    told = [i for i in node if any(x is not None and x != "" for x in (rows[i][1] or None, *rows[i][3:]))]
+    size = {}
+    for i in told:
+        size[top[node[i]]] = size.get(top[node[i]], 0) + 1
+    places = {r.account_id: r.place for r in place_pairs.alike_places(nodes, every=True).collect()}
+    assert places == {i: f"t{top[n]}" if i in told and size[top[n]] > 1 else None for i, n in node.items()}
+
+
+def test_account_places_link_accounts_of_unlike_localities(monkeypatch):
+    """``l5`` and ``l6`` ask for all pairs."""
+    from placewise.plans import place_queries
+
+    asked = []
+    monkeypatch.setattr(place_queries.place_pairs, "nodes_of", lambda features: features)
+    monkeypatch.setattr(place_queries.place_pairs, "alike_places", lambda nodes, threshold=0.75, every=False: asked.append(every))
+    monkeypatch.setattr(place_queries.place_pairs, "merged_places", lambda spatial, text: None)
+    monkeypatch.setattr(place_queries.places, "account_places", lambda clustered: None)
+    monkeypatch.setattr(place_queries, "_clustered", lambda t: None)
+    place_queries._account_places(None, None)
+    assert asked == [True]
+
+
+def test_token_set_ratios_as_the_column_says(spark):
+    rng = random.Random(9)
+    words = ["a", "ab", "abc", "bca", "cab", "12", "123", "road"]
+    texts = ["", "   "] + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    pairs = [(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    ratio = spark.createDataFrame(pairs, "i int, j int, a string, b string").select("i", "j", fuzzy.token_set_ratio_col(F.col("a"), F.col("b")).alias("r")).collect()
+    i, j, got = fuzzy.token_set_ratios(texts, texts, np.full((len(texts), len(texts)), 60.0))
+    assert dict(zip(zip(i.tolist(), j.tolist()), got)) == pytest.approx({(r.i, r.j): r.r for r in ratio if r.r >= 60}, abs=1e-9)
+
+
 def test_token_sets_reach_as_the_ratio_says(spark):
     rng = random.Random(8)
     words = ["a", "ab", "abc", "bca", "cab", "no.", "12", "123", "321", "\u0c95\u0ca8", "road"]
